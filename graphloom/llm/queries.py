@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import splitting
+from graphloom.llm import splitting, truncation
 from graphloom.session import table
 
 
@@ -16,7 +16,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).where("truncated").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(truncation.truncated(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p8_found, p8_rates)}
 
 _LATEST_CHUNKS = """
 latest AS (
