@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import splitting, truncation
-from graphloom.session import table
+from graphloom.llm import mixing, packing, splitting, tokens, truncation
+from graphloom.session import materialize, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,29 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens), computed once: encoding is by far the dearest step."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return materialize(tokens.with_tokens(docs, "text").select("doc_id", "source", "n_tokens"))
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(document_sizes(spark, d), table(spark, d, "context_budgets"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, d), table(spark, d, "context_budgets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(document_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = document_sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.share_report(docs, targets, mixing.mix(docs, targets))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).where("truncated").select("doc_id")
 
@@ -24,7 +47,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates)}
 
 _LATEST_CHUNKS = """
 latest AS (
