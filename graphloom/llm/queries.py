@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing, packing, splitting, tokens, truncation
+from graphloom.llm import mixing, neighbours, packing, splitting, tokens, truncation
 from graphloom.session import materialize, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.most_similar(table(spark, d, "vectors"), table(spark, d, "embedder_configs"), min_similarity=0.8)
+    return neighbours.similar_pairs(found)
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.most_similar(table(spark, d, "vectors"), table(spark, d, "embedder_configs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.weakest_boundary(splitting.split_oversized(table(spark, d, "chunks"), with_text=False))
 
@@ -47,7 +56,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_pieces, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates)}
 
 _LATEST_CHUNKS = """
 latest AS (
