@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import pipeline
+from graphloom.plans import graph_queries, pipeline
 
-MODULES = [pipeline]
+MODULES = [graph_queries, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p4_found"](spark, sf_dir)
+    return queries()["expand_call_tree"](spark, sf_dir)
