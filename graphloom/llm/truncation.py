@@ -411,7 +411,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     own; repeated texts are judged alike, each under its own id; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.trim("text") != "")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S"))
     sized = rows.withColumns({"n_char": F.length("text"), "n_byte": F.octet_length("text")})
     limits = materialize(length_limits(sized).where("posterior > 0.3").select("source", "unit", "length", "posterior"))
     by_char = limits.where("unit = 'char'").select(F.col("source").alias("cs"), F.col("length").alias("cl"), F.col("posterior").alias("cp"))
