@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import build_queries, graph_queries, pipeline, text_queries
+from graphloom.plans import build_queries, graph_queries, misc_queries, pipeline, text_queries
 
-MODULES = [graph_queries, build_queries, text_queries, pipeline]
+MODULES = [graph_queries, build_queries, text_queries, misc_queries, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
