@@ -263,7 +263,7 @@ def build_graph(docs: DataFrame, custom_bases: dict[str, str] | None = None) ->
         F.transform(_list("p.interfaces"), lambda x: _edge(cls, _id("class:", x), "implements")),
         F.transform(_list("p.traits"), lambda x: _edge(cls, _id("class:", x), "uses_trait")),
         F.transform(_list("p.methods"), lambda m: _edge(method(m), cls, "part_of")),
-        F.flatten(F.transform(_list("p.methods"), lambda m: F.transform(F.filter(m["parameters"], lambda q: q["type"].isNotNull()), lambda q: _edge(method(m), _id("class:", F.regexp_replace(q["type"], r"^[?\\]+", "")), "validates_with")))),
+        F.flatten(F.transform(_list("p.methods"), lambda m: F.transform(F.filter(F.coalesce(m["parameters"], F.array().cast("array<struct<name:string,type:string,optional:boolean,variadic:boolean>>")), lambda q: q["type"].isNotNull()), lambda q: _edge(method(m), _id("class:", F.regexp_replace(q["type"], r"^[?\\]+", "")), "validates_with")))),
     )
     routed = F.concat(
         F.when((F.col("p.action.kind") == "controller") & F.col("p.action.controller").isNotNull() & F.col("p.action.method").isNotNull(), F.array(_edge(route, _id("method:", F.col("p.action.controller"), F.lit("::"), F.col("p.action.method")), "routes_to"))).otherwise(F.array().cast("array<struct<source:string,target:string,kind:string,attributes:string>>")),
