@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.operators import graph as G
 from graphloom.operators import retrieval
@@ -27,10 +28,6 @@ class TableStore:
         self.spark, self.root = spark, root.rstrip("/")
         self._log = CommitLog(spark, self.root)
 
-    def _current(self) -> str | None:
-        last = self._log.last()
-        return None if last is None or last.output == "" else last.output
-
     def replace(self, **tables: DataFrame) -> None:
         from graphloom.operators.incremental import Commit
 
@@ -38,11 +35,15 @@ class TableStore:
         folder = f"{self.root}/version-{uuid.uuid4().hex}"
         for name, df in tables.items():
             (df.write.partitionBy("kind") if name in ("nodes", "edges") else df.write).parquet(f"{folder}/{name}")
-        self._log.publish(Commit((last.seq if last else 0) + 1, folder if tables else "", "", ""))
+        schemas = json.dumps({name: df.schema.json() for name, df in tables.items()})  # an empty table's files may not tell
+        self._log.publish(Commit((last.seq if last else 0) + 1, folder if tables else "", "", schemas))
 
     def read(self, name: str) -> DataFrame | None:
-        folder = self._current()
-        return self.spark.read.parquet(f"{folder}/{name}") if folder else None
+        last = self._log.last()
+        if last is None or last.output == "":
+            return None
+        schema = StructType.fromJson(json.loads(json.loads(last.untracked)[name]))
+        return self.spark.read.schema(schema).parquet(f"{last.output}/{name}")
 
     def clear(self) -> None:
         self.replace()
