@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -56,101 +57,180 @@ def shape(kind: str, text: str) -> str:
     return {"mark": text, "nl": "\n"}.get(kind, kind)
 
 
-def tokens(text: str) -> list[tuple[str, str, int, str]]:
-    """(shape, text, end, kind) of each token."""
-    return [(shape(m.lastgroup, m.group()), m.group(), m.end(), m.lastgroup) for m in TOKEN.finditer(text)]
+NEWLINE, CAPITAL, STOP, UPPER = 1, 2, 4, 8
+MASK = (1 << 64) - 1
+
+
+def text_hash(text: str) -> int:
+    """64 bits of a text, the same in every process."""
+    data = text.encode("utf-8", "replace")
+    return (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & MASK
 
 
 def bucket(*parts: str) -> int:
-    return zlib.crc32("\x00".join(parts).encode("utf-8", "replace")) % BUCKETS
+    return text_hash("\x00".join(parts)) % BUCKETS
 
 
-def strip_end(text: str) -> tuple[str, str]:
-    """The text up to where it stops, and what stands after the stop: marker, ellipsis, broken (half a character) or plain."""
-    bare = text.rstrip()
-    if m := MARKERS.search(bare):
-        return bare[: m.start()].rstrip(), "marker"
-    if bare.endswith("�"):
-        return bare.rstrip("�"), "broken"
-    if m := ELLIPSIS.search(bare):
-        return bare[: m.start()].rstrip(), "ellipsis"
-    return bare, "plain"
+class Token:
+    """What there is to know about a token, whatever surrounds it."""
 
+    __slots__ = ("alike", "flags", "kind", "last_piece", "literal", "pieces", "shape", "text")
 
-def line_shapes(found: list, i: int) -> list[str]:
-    """The shapes of token i and those before it in its line; a capitalised word that begins a line counts as itself."""
-    line = []
-    for j in range(i, -1, -1):
-        if found[j][3] == "nl":
-            break
-        line.append(found[j][1] if found[j][0] == "A" and (j == 0 or found[j - 1][3] == "nl") else found[j][0])
-    return line[::-1]
+    def __init__(self, kind: str, text: str):
+        s = shape(kind, text)
+        self.kind, self.text = kind, text
+        self.shape, self.literal = text_hash(s), text_hash(text)
+        self.alike = text_hash("X" if s in ("A", "C", "m") else s)
+        self.flags = NEWLINE * (kind == "nl") + CAPITAL * (s == "A") + STOP * (text in (".", "!", "?")) + UPPER * text[0].isupper()
+        found = PIECE.findall(text) if kind in ("word", "name", "key", "path", "var", "other") else []
+        self.pieces = [bucket("w", p.lower()) for p in found]
+        self.last_piece = self.pieces[-1] if found and text[-1].isalpha() else None
+
+
+_known: dict[str, Token] = {}
+
+
+def tokens(text: str) -> tuple[list[Token], list[int]]:
+    """The tokens of a text and where each ends."""
+    found, ends = [], []
+    if len(_known) > 400_000:
+        _known.clear()
+    for m in TOKEN.finditer(text):
+        t = m.group()
+        token = _known.get(t)
+        if token is None:
+            token = _known[t] = Token(m.lastgroup, t)
+        found.append(token)
+        ends.append(m.end())
+    return found, ends
 
 
-def contexts(source: str, line: list[str]) -> tuple[int, int]:
-    """Buckets of the last three shapes, of one source and of all."""
-    last = (["^"] * 3 + line[-3:])[-3:]
-    return bucket("s", source, *last), bucket("3", *last)
+BEGIN = np.uint64(text_hash("^"))
+LONGEST_LINE = 14
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(LONGEST_LINE)], np.uint64)
+_M1, _M2, _M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
 
 
-def whole_line(line: list[str]) -> int | None:
-    """Bucket of a line as a whole, names all alike; None for long lines, which hardly ever repeat."""
-    return bucket("line", *("X" if s in "ACm" else s for s in line)) if 0 < len(line) <= 14 else None
+def _to_bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _M1
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def last_piece(kind: str, text: str) -> str | None:
-    if kind in ("word", "name", "key", "path", "var", "other") and (pieces := PIECE.findall(text)) and text[-1].isalpha():
-        return pieces[-1].lower()
-    return None
+def contexts(source: str, found: list[Token]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token the buckets of the last three shapes up to it within its line, for its source and for all; and of its line as a whole.
+
+    A capitalised word that begins a line counts as itself. In whole lines names are all alike; -1 stands for lines of more
+    than LONGEST_LINE tokens, which hardly ever repeat.
+    """
+    n = len(found)
+    with np.errstate(over="ignore"):
+        flags = np.fromiter((t.flags for t in found), np.int64, n)
+        newline = (flags & NEWLINE) > 0
+        start = np.append(0, np.flatnonzero(newline) + 1)[np.cumsum(newline) - newline]  # where each token's line begins
+        place = np.arange(n) - start
+        first = place == 0
+        capital = first & ((flags & CAPITAL) > 0)
+        shapes = np.fromiter((t.shape for t in found), np.uint64, n)
+        literal = np.fromiter((t.literal for t in found), np.uint64, n)
+        now = np.where(capital, literal, shapes)
+        before, earlier = np.full(n, BEGIN), np.full(n, BEGIN)
+        before[1:] = np.where(place[1:] >= 1, now[:-1], BEGIN)
+        earlier[2:] = np.where(place[2:] >= 2, now[:-2], BEGIN)
+        three = (now * _M1) ^ ((before * _M2) + (earlier * _M3))
+        alike = np.where(capital, literal, np.fromiter((t.alike for t in found), np.uint64, n))
+        total = np.cumsum(alike * _POWERS[np.minimum(place, LONGEST_LINE - 1)], dtype=np.uint64)
+        line = total - np.where(start > 0, total[np.maximum(start - 1, 0)], np.uint64(0))
+        whole = np.where(place < LONGEST_LINE, _to_bucket(line ^ np.uint64(text_hash("line"))), -1)
+        return _to_bucket(three ^ np.uint64(text_hash("s\x00" + source))), _to_bucket(three), whole
+
+
+def strip_end(text: str) -> tuple[str, str]:
+    """The text up to where it stops, and what stands after the stop: marker, ellipsis, broken (half a character) or plain."""
+    bare = text.rstrip()
+    at = max(0, len(bare) - 80)
+    if m := MARKERS.search(bare, at):
+        return bare[: m.start()].rstrip(), "marker"
+    if bare.endswith("�"):
+        return bare.rstrip("�"), "broken"
+    if m := ELLIPSIS.search(bare, at):
+        return bare[: m.start()].rstrip(), "ellipsis"
+    return bare, "plain"
 
 
-def count_tokens(source: str, text: str, total: Counter, ends: Counter) -> None:
+def count_tokens(source: str, text: str, total: np.ndarray, ends: np.ndarray) -> None:
     """Add a text's token contexts, line and sentence ends and word pieces; the last token is left out, it is what is to be judged."""
     bare, _ = strip_end(text)
-    found = tokens(bare)
-    line: list[str] = []
-    for i, (s, t, end, kind) in enumerate(found[:-1]):
-        if kind == "nl":
-            line = []
-            continue
-        line.append(t if s == "A" and not line else s)
-        after = found[i + 1]
-        ended = after[3] == "nl" or (t in ".!?" and after[1][0].isupper() and bare[end : end + 1].isspace())
-        for b in contexts(source, line):
-            total[b] += 1
-            if ended:
-                ends[b] += 1
-        if after[3] == "nl" and (b := whole_line(line)) is not None:
-            total[b] += 1
-            ends[b] += 1
-        if kind in ("word", "name", "key", "path", "var", "other"):
-            for p in PIECE.findall(t):
-                total[bucket("w", p.lower())] += 1
+    found, stops = tokens(bare)
+    if len(found) < 2:
+        return
+    own, general, whole = contexts(source, found)
+    flags = np.fromiter((t.flags for t in found), np.int64, len(found))
+    here = (flags[:-1] & NEWLINE) == 0
+    line_end = (flags[1:] & NEWLINE) > 0
+    sentence = ((flags[:-1] & STOP) > 0) & ((flags[1:] & UPPER) > 0)
+    for i in np.flatnonzero(sentence):
+        sentence[i] = bare[stops[i] : stops[i] + 1].isspace()
+    for b in (own[:-1], general[:-1]):
+        np.add.at(total, b[here], 1)
+        np.add.at(ends, b[here & (line_end | sentence)], 1)
+    lines = whole[:-1][here & line_end & (whole[:-1] >= 0)]
+    np.add.at(total, lines, 1)
+    np.add.at(ends, lines, 1)
+    np.add.at(total, np.array([p for t in found[:-1] for p in t.pieces], np.int64), 1)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, ends = Counter(), Counter()
+    total, ends = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for batch in batches:
         for source, text in zip(batch["source"], batch["text"]):
             count_tokens(source or "", text, total, ends)
-    keys = np.fromiter(total.keys(), np.int64, len(total))
-    yield pd.DataFrame({"bucket": keys, "total": [total[k] for k in keys], "ends": [ends[k] for k in keys]}).astype({"total": "int64", "ends": "int64"})
+    keys = np.flatnonzero(total)
+    for lo in range(0, len(keys), 100_000):
+        part = keys[lo : lo + 100_000]
+        yield pd.DataFrame({"bucket": part, "total": total[part].astype(np.int64), "ends": ends[part].astype(np.int64)})
+
+
+def ending(source: str, bare: str) -> tuple[list[Token], tuple[int, int, int]]:
+    """The tokens of a text's last line, or of its last 150 characters, and what ``contexts`` gives for the last of them."""
+    line = bare[bare.rfind("\n") + 1 :]
+    found = tokens(line if len(line) <= 250 else line[-150:])[0]
+    if not found:
+        return [], (-1, -1, -1)
+    whole_line = len(line) <= 250
+    now = [t.shape for t in found[-3:]]
+    if whole_line and found[0].flags & CAPITAL and len(found) <= 3:
+        now[0] = found[0].literal
+    a, b, c = ([int(BEGIN)] * 3 + now)[-3:]
+    three = ((c * int(_M1)) ^ (b * int(_M2) + a * int(_M3))) & MASK
+    whole = -1
+    if whole_line and len(found) <= LONGEST_LINE:
+        h = sum((t.literal if k == 0 and t.flags & CAPITAL else t.alike) * p for k, (t, p) in enumerate(zip(found, _PYTHON_POWERS))) & MASK
+        whole = _one_bucket(h ^ _LINE)
+    return found, (_one_bucket(three ^ _source_hash(source)), _one_bucket(three), whole)
 
 
-def tail(text: str, size: int = 600) -> list:
-    """The tokens of a text's last characters."""
-    return tokens(text[-size:])
+_PYTHON_POWERS, _LINE = [int(p) for p in _POWERS], text_hash("line")
+
+
+@cache
+def _source_hash(source: str) -> int:
+    return text_hash("s\x00" + source)
+
+
+def _one_bucket(h: int) -> int:
+    h = ((h ^ (h >> 33)) * int(_M1)) & MASK
+    return (h ^ (h >> 29)) % BUCKETS
 
 
 def _text_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for h, source, text in zip(batch["h"], batch["source"], batch["text"]):
-            if found := tail(strip_end(text)[0]):
-                line = line_shapes(found, len(found) - 1)
-                out += [(b, h) for b in (*contexts(source or "", line), whole_line(line)) if b is not None]
-                if piece := last_piece(found[-1][3], found[-1][1]):
-                    out.append((bucket("w", piece), h))
+            found, where = ending(source or "", strip_end(text)[0])
+            if found:
+                out += [(b, h) for b in where if b >= 0]
+                if found[-1].last_piece is not None:
+                    out.append((found[-1].last_piece, h))
         yield pd.DataFrame(out, columns=["bucket", "h"]).astype("int64")
 
 
@@ -165,14 +245,27 @@ def corpus_counts(texts: DataFrame) -> dict[str, np.ndarray]:
     last = texts.where("limit_key = 'off'").select(F.xxhash64("text").alias("h"), "source", "text").mapInPandas(_text_ends, "bucket bigint, h bigint")
     last = last.distinct().groupBy("bucket").agg(F.count("*").alias("texts"))
     inner = inner.groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
-    rows = inner.join(last, "bucket", "full").na.fill(0).toPandas()
-    out = {}
-    for c in ("total", "ends", "texts"):
-        out[c] = np.zeros(BUCKETS, np.float32)
-        out[c][rows["bucket"].to_numpy(np.int64)] = rows[c].to_numpy(np.float32)
+    rows = inner.join(last, "bucket", "full").na.fill(0).withColumn("slab", F.expr(f"cast(bucket div {SLAB} AS int)"))
+    out = {c: np.zeros(BUCKETS, np.float32) for c in ("total", "ends", "texts")}
+    for r in rows.groupBy("slab").applyInPandas(_slab, "slab int, total binary, ends binary, texts binary").collect():
+        for c in out:
+            out[c][r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(r[c], np.float32)
     return out
 
 
+SLAB = 1 << 17
+
+
+def _slab(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """A stretch of the tables as bytes."""
+    out = {"slab": [key[0]]}
+    for c in ("total", "ends", "texts"):
+        part = np.zeros(SLAB, np.float32)
+        part[frame["bucket"].to_numpy(np.int64) - key[0] * SLAB] = frame[c].to_numpy(np.float32)
+        out[c] = [part.tobytes()]
+    return pd.DataFrame(out)
+
+
 def _balance(text: str) -> bool:
     """Whether brackets and backticks opened in the last line are closed there."""
     line = text[text.rfind("\n") + 1 :]
@@ -211,15 +304,14 @@ def structure(text: str) -> str:
 def describe(source: str, text: str, counts: dict[str, np.ndarray], own_end: float, own_inner: float = 0.0) -> str:
     """The features of an ending, as one word. What the text itself added to the counts, as an ending or inside, is taken out."""
     bare, after = strip_end(text)
-    found = tail(bare)
+    found, (own, general, whole) = ending(source, bare)
     if not found:
         return "none"
     if after in ("marker", "broken"):
         return after
-    _, t, _, kind = found[-1]
-    line = line_shapes(found, len(found) - 1)
+    kind, t = found[-1].kind, found[-1].text
     seen, ended = 0.0, 0.0
-    for b in contexts(source, line):
+    for b in (own, general):
         texts = max(0.0, float(counts["texts"][b]) - own_end)
         seen = max(0.0, float(counts["total"][b]) - own_inner) + texts
         ended = float(counts["ends"][b]) + texts
@@ -233,12 +325,11 @@ def describe(source: str, text: str, counts: dict[str, np.ndarray], own_end: flo
     if last in ("stop", "close"):
         return "|".join((built, last, "never" if seen >= 20 and share < 0.02 else "any", after))
     word = "-"
-    if piece := last_piece(kind, t):
-        whole = max(0.0, float(counts["total"][bucket("w", piece)]) - own_inner)
-        cut = max(0.0, float(counts["texts"][bucket("w", piece)]) - own_end)
-        word = "known" if whole + cut >= 3 and whole >= 0.2 * cut else "odd"
-    b = whole_line(line)
-    if b is not None and float(counts["ends"][b]) + max(0.0, float(counts["texts"][b]) - own_end) >= 3:
+    if (piece := found[-1].last_piece) is not None:
+        inside = max(0.0, float(counts["total"][piece]) - own_inner)
+        last_in = max(0.0, float(counts["texts"][piece]) - own_end)
+        word = "known" if inside + last_in >= 3 and inside >= 0.2 * last_in else "odd"
+    if whole >= 0 and float(counts["ends"][whole]) + max(0.0, float(counts["texts"][whole]) - own_end) >= 3:
         ends = "line"
     elif len(found) <= 2 and len(bare) < 40:
         ends = "tiny"

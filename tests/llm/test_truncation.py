@@ -81,3 +81,11 @@ def test_markers_are_told_from_words():
     assert T.strip_end("some wor...\n") == ("some wor", "ellipsis")
     assert T.strip_end("end�") == ("end", "broken")
     assert T.strip_end("end. ") == ("end.", "plain")
+
+
+@pytest.mark.parametrize("text", ["The end", "a\nThe end of it.", "x\n\n- drop FooBar v1.2.3 at /a/b", "One\nTwo Three", "word " * 80 + "end", "A b c d e f g h i j k l m n o", "\n", "Äpfel\n漢字 end"])
+def test_one_ending_agrees_with_the_counts(text):
+    found, _ = T.tokens(text)
+    own, general, whole = (int(b[-1]) for b in T.contexts("s", found))
+    last, where = T.ending("s", text)
+    assert not last or (where == (own, general, whole) and last[-1] is found[-1])
