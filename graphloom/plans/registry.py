@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["expand_call_tree"](spark, sf_dir)
+    return queries()["bfs"](spark, sf_dir)

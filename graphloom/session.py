@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,20 @@ def materialize(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Mark ``df`` for broadcast only if it is proven to hold at most ``max_rows`` rows; else leave the choice to the planner."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that it need not be installed or on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="graphloom-package-")) / "graphloom.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
