@@ -88,23 +88,23 @@ def first_deliveries(changes: DataFrame) -> DataFrame:
     )
 
 
-def pending_changes(changes: DataFrame, marks: DataFrame, upper: DataFrame | None = None) -> DataFrame:
+def pending_changes(changes: DataFrame, marks: DataFrame, upper: int | None = None) -> DataFrame:
     """Changes the watermarks do not cover: (change_id, project_slug, commit_no, first_received).
 
     Covered means commit_no <= wm_commit_no and first_received <= wm_started. A late record below the watermark, a change
-    without commit number or receipt time, and every change of a project without watermark are pending. ``upper`` (one row:
-    ``upper_received``), fixed when a run starts, leaves changes first received after it to the next run.
+    without commit number or receipt time, and every change of a project without watermark are pending. ``upper``
+    (microseconds), fixed when a run starts, leaves changes first received after it to the next run.
     """
     rows = first_deliveries(changes)
     if upper is not None:
-        rows = rows.crossJoin(F.broadcast(upper)).where("first_received IS NULL OR first_received <= upper_received").drop("upper_received")
+        rows = rows.where(F.col("first_received").isNull() | (F.unix_micros("first_received") <= upper))
     covered = F.coalesce(F.expr("commit_no <= wm_commit_no AND first_received <= wm_started"), F.lit(False))
     return rows.join(marks, "project_slug", "left").where(~covered).select("change_id", "project_slug", "commit_no", "first_received")
 
 
-def upper_bound(changes: DataFrame) -> DataFrame:
-    """One row: the latest receipt time there is when the run starts."""
-    return changes.select(as_instant(changes, "received_at").alias("r")).agg(F.max("r").alias("upper_received"))
+def upper_bound(changes: DataFrame) -> int | None:
+    """The latest receipt time there is when the run starts, in microseconds; None if there is none."""
+    return changes.select(as_instant(changes, "received_at").alias("r")).agg(F.unix_micros(F.max("r")).alias("u")).first()["u"]
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ def incremental_run(
     """
     spark = changes.sparkSession
     last = log.last()
-    upper = spark.createDataFrame(upper_bound(changes).collect(), "upper_received timestamp")  # fixed from here on: one row
+    upper = upper_bound(changes)  # fixed from here on
     if last:
         marks = spark.read.parquet(last.watermark)
     elif seed:
@@ -188,9 +188,8 @@ def incremental_run(
     loose = first_deliveries(changes).where("project_slug IS NULL OR commit_no IS NULL OR first_received IS NULL")
     loose.where("change_id IS NOT NULL").select("change_id").write.parquet(f"{folder}/untracked")
     top = first_deliveries(changes).where("project_slug IS NOT NULL").groupBy("project_slug").agg(F.max("commit_no").alias("wm_commit_no"))
-    top.select("project_slug", F.lit(seq).cast("bigint").alias("run_id"), "wm_commit_no").crossJoin(
-        F.broadcast(upper.withColumnRenamed("upper_received", "wm_started"))
-    ).write.parquet(f"{folder}/watermark")
+    mark = F.timestamp_micros(F.lit(upper).cast("bigint")).alias("wm_started")
+    top.select("project_slug", F.lit(seq).cast("bigint").alias("run_id"), "wm_commit_no", mark).write.parquet(f"{folder}/watermark")
     commit = Commit(seq, f"{folder}/output", f"{folder}/watermark", f"{folder}/untracked")
     log.publish(commit)
     return commit
