@@ -106,6 +106,23 @@ l{d} AS (SELECT * FROM (SELECT c.project_slug, c.root, c.id, {d} AS depth, best[
     return f"WITH {_N}, {steps}, {','.join(levels)} SELECT x.project_slug, root, rank, x.id, depth, via, TRY_CAST(e.a->>'$.line' AS INT) AS call_site_line FROM ({every}) x LEFT JOIN e USING (edge_seq)"
 
 
+def _bfs_sql(depth: int, limit: int) -> str:
+    """Levels of a breadth-first walk from every route, the root included."""
+    steps = """
+steps AS (SELECT e.project_slug, e.source AS p, e.target AS c, e.edge_seq FROM e JOIN n ON n.project_slug = e.project_slug AND n.id = e.target WHERE e.kind IN ('routes_to', 'calls', 'part_of', 'fires')),
+l0 AS (SELECT project_slug, id AS root, id, CAST(0 AS BIGINT) AS rank, 0 AS depth FROM n WHERE kind = 'route')"""
+    levels = []
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT project_slug, root, id FROM l{i}" for i in range(d))
+        levels.append(f"""
+c{d} AS (SELECT l.project_slug, l.root, s.c AS id, min((l.rank, s.edge_seq, l.id)) AS best FROM l{d - 1} l JOIN steps s ON s.project_slug = l.project_slug AND s.p = l.id
+        WHERE NOT EXISTS (SELECT 1 FROM ({seen}) v WHERE v.project_slug = l.project_slug AND v.root = l.root AND v.id = s.c) GROUP BY ALL),
+l{d} AS (SELECT * FROM (SELECT c.project_slug, c.root, c.id, t.k + row_number() OVER (PARTITION BY c.project_slug, c.root ORDER BY best[1], best[2], c.id) - 1 AS rank, {d} AS depth
+        FROM c{d} c JOIN (SELECT project_slug, root, count(*) AS k FROM ({seen}) GROUP BY ALL) t USING (project_slug, root)) WHERE rank < {limit})""")
+    every = " UNION ALL ".join(f"SELECT project_slug, root, rank, id, depth FROM l{d}" for d in range(depth + 1))
+    return f"WITH {_N}, {steps}, {','.join(levels)} {every}"
+
+
 def _effects(names: list[tuple[str, str]]) -> str:
     return ", ".join(f"coalesce(string_agg(DISTINCT tname, ',' ORDER BY tname) FILTER (kind = '{k}'), '') AS {n}" for k, n in names)
 
@@ -189,6 +206,14 @@ FROM f LEFT JOIN m ON m.project_slug = f.project_slug AND m.bare = regexp_replac
     "cache_keys_matching": f"WITH {_N} SELECT DISTINCT project_slug, name AS key FROM n WHERE kind = 'cache_key' AND regexp_matches(name, '(?s)^.*\\.list$')",
     "expand_call_tree": _tree("routes_to", "source", "target"),
     "expand_call_tree_upstream": _tree("calls", "target", "source"),
+    "bfs": _bfs_sql(3, 50),
+    "get_request_flow": f"""WITH {_N}, {_LISTENERS},
+f AS (SELECT DISTINCT h.project_slug, h.route_id, {_BARE.format('o.target')} AS event, o.tname AS event_name FROM hh h JOIN out o ON o.project_slug = h.project_slug AND o.source = h.method_id AND o.kind = 'fires'),
+l AS (SELECT DISTINCT project_slug, event, listener_id, short_name, listener_fqn, method FROM lis),
+c AS (SELECT l.project_slug, l.listener_id, {_effects([('fires', 'fires'), ('dispatches', 'dispatches'), ('notifies', 'notifies')])} FROM (SELECT DISTINCT project_slug, listener_id, listener_fqn, method FROM l) l
+      JOIN out ON out.project_slug = l.project_slug AND (out.source = l.listener_id OR out.source = 'method:' || l.listener_fqn || '::' || coalesce(l.method, 'handle')) GROUP BY ALL)
+SELECT f.project_slug, f.route_id, f.event_name AS event, l.short_name AS listener, coalesce(fires, '') AS fires, coalesce(dispatches, '') AS dispatches, coalesce(notifies, '') AS notifies
+FROM f LEFT JOIN l ON l.project_slug = f.project_slug AND l.event = f.event LEFT JOIN c ON c.project_slug = l.project_slug AND c.listener_id = l.listener_id""",
     "dangling_edges": f"WITH {_N} SELECT e.kind, count(*) AS edges, count(*) FILTER (n.id IS NULL) AS dangling FROM e LEFT JOIN n ON n.project_slug = e.project_slug AND n.id = e.target GROUP BY ALL",
     "find_event_chains": f"""WITH RECURSIVE {_N}, {_LISTENERS},
 links AS (SELECT DISTINCT l.project_slug, l.event, l.short_name AS listener, l.listener_fqn, l.listener_id, {_BARE.format('f.target')} AS child FROM lis l LEFT JOIN e f ON f.project_slug = l.project_slug AND f.kind = 'fires'

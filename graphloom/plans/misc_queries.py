@@ -37,6 +37,10 @@ QUERIES = {f.__name__: f for f in (route_questions, index_coverage, trace_outcom
 
 ORACLE = {
     "route_questions": router.routing_sql("(SELECT * FROM documents WHERE regexp_replace(lower(trim(source)), '[ _-]+', '_', 'g') = 'ask_log')", "doc_id", "text"),
+    "trace_outcomes": """
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lower(trim(source)) = 'trace' AND text IS NOT NULL),
+r AS (SELECT line->>'$.trace_id' AS trace_id, line->>'$.kind' AS kind, line->>'$.query' AS query, TRY_CAST(line->>'$.duration_ms' AS DOUBLE) AS ms FROM (SELECT CASE WHEN starts_with(trim(line), '{') AND json_valid(line) THEN line END AS line FROM l) WHERE line IS NOT NULL)
+SELECT trace_id, string_agg(DISTINCT query, '; ' ORDER BY query) AS queries, count(*) FILTER (kind = 'tool_executed') AS tool_calls, coalesce(sum(ms), 0) AS duration_ms, CASE WHEN bool_or(kind = 'ask_refusal') THEN 'refused' ELSE 'answered' END AS outcome FROM r GROUP BY 1""",
     "index_coverage": """SELECT project_slug, m.lsp_server IS NOT NULL AS calls_indexed, m.embedder_id AS embedder_id, m.indexed_at AS indexed_at
 FROM (SELECT project_slug, max_by({'lsp_server': lsp_server, 'embedder_id': embedder_id, 'indexed_at': indexed_at}, (started_at, run_id)) AS m FROM project_meta WHERE run_status = 'ok' GROUP BY 1)""",
 }

@@ -33,12 +33,12 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return text.paragraphs(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "piece_no", "start_line", "end_line", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
 
 
-def node_bodies(spark: SparkSession, d: str) -> DataFrame:
+def get_node_body(spark: SparkSession, d: str) -> DataFrame:
     rows = text.node_bodies(G.load_graph(spark, d), table(spark, d, "chunks"))
     return rows.select("project_slug", "node_id", "kind", "symbol", "container_class", "file", "start_line", "end_line", "chunk_id", F.sha2("content", 256).alias("digest"))
 
 
-def document_lines(spark: SparkSession, d: str) -> DataFrame:
+def get_full_block(spark: SparkSession, d: str) -> DataFrame:
     """Lines 2 to 4 with one line of context of every document, read as a file."""
     docs = table(spark, d, "documents")
     files = docs.select(F.col("doc_id").cast("string").alias("file_path"), "text", F.col("captured_at").cast("timestamp").alias("mtime"))
@@ -90,7 +90,7 @@ def embedding_cost(spark: SparkSession, d: str) -> DataFrame:
     return text.embedding_cost(table(spark, d, "chunks").where("text IS NOT NULL").select(F.octet_length("text").alias("n")), "n", 0.02)
 
 
-QUERIES = {f.__name__: f for f in (vector_top_k, semantic_search, search_annotations, chunk_documents, node_bodies, document_lines, chunk_ids, enriched_chunks, source_chunks, embedding_cache, embedded_documents, orphan_vectors, vector_upsert, embedding_cost)}
+QUERIES = {f.__name__: f for f in (vector_top_k, semantic_search, search_annotations, chunk_documents, get_node_body, get_full_block, chunk_ids, enriched_chunks, source_chunks, embedding_cache, embedded_documents, orphan_vectors, vector_upsert, embedding_cost)}
 
 _N = "n AS (SELECT project_slug, id, kind, name, attributes AS a FROM (SELECT *, row_number() OVER (PARTITION BY project_slug, id ORDER BY kind NULLS FIRST, name NULLS FIRST, attributes NULLS FIRST) AS r FROM nodes) WHERE r = 1)"
 _WEIGHT = "CASE WHEN n.kind IS NULL THEN 0.9 " + " ".join(f"WHEN n.kind = '{k}' THEN {w}" for k, w in retrieval.KIND_WEIGHTS.items()) + " ELSE 1.0 END"
@@ -112,12 +112,29 @@ w AS (SELECT m.*, coalesce(n.kind, 'chunk') AS kind, n.name, round(vector_score
 t AS (SELECT *, max(score) OVER (PARTITION BY project_slug, embedder_id, qid) AS top, count(*) FILTER (vector_score < 0.4) OVER (PARTITION BY project_slug, embedder_id, qid) AS filtered FROM w)
 SELECT * FROM (SELECT project_slug, embedder_id, qid, row_number() OVER (PARTITION BY project_slug, embedder_id, qid ORDER BY score DESC, node_id) AS position, node_id, kind, name, chunk_id, vector_score, score,
   CASE WHEN top >= 0.65 THEN 'high' WHEN top >= 0.55 THEN 'medium' ELSE 'low' END AS confidence, filtered FROM t WHERE vector_score >= 0.4) WHERE position <= 10""",
-    "document_lines": """
+    "get_full_block": """
 WITH l AS (SELECT doc_id, text, captured_at, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS raw FROM documents),
 m AS (SELECT *, list_transform(raw, lambda x: CASE WHEN ends_with(x, chr(13)) THEN left(x, length(x) - 1) ELSE x END) AS lines, CASE WHEN text IS NULL THEN NULL WHEN text = '' THEN 0 ELSE len(raw) END AS total FROM l),
 e AS (SELECT *, CASE WHEN text IS NULL THEN 'file_not_found' WHEN total < 2 THEN 'range_out_of_bounds' END AS error_code FROM m)
 SELECT CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN error_code IS NULL THEN 1 END AS start_line, CASE WHEN error_code IS NULL THEN least(total, 5) END AS end_line, CASE WHEN error_code IS NULL THEN least(total, 5) END AS line_count,
        total AS total_file_lines, CASE WHEN error_code IS NULL THEN sha256(array_to_string(lines[1:5], chr(10))) END AS digest, error_code IS NULL AND total < 4 AS truncated_to_eof, coalesce(captured_at > TIMESTAMP '2025-06-01', false) AS stale, error_code FROM e""",
+    "get_node_body": f"""
+WITH {_N},
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS r FROM chunks) WHERE r = 1 AND node_id IS NOT NULL AND text IS NOT NULL),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_slug, node_id ORDER BY file_path NULLS FIRST, start_byte NULLS FIRST, id) AS k FROM c) WHERE k = 1)
+SELECT n.project_slug, n.id AS node_id, n.kind, f.symbol, n.a->>'$.class_fqn' AS container_class, coalesce(n.a->>'$.file', f.file_path) AS file, f.start_line, f.end_line, f.id AS chunk_id,
+       sha256(array_to_string(list_transform(string_split(f.text, chr(10)), lambda x: CASE WHEN ends_with(x, chr(13)) THEN left(x, length(x) - 1) ELSE x END), chr(10))) AS digest
+FROM f JOIN n ON n.project_slug = f.project_slug AND n.id = f.node_id""",
+    "chunk_documents": """
+WITH l AS (SELECT doc_id, i, CASE WHEN ends_with(raw[i], chr(13)) AND i < len(raw) THEN left(raw[i], length(raw[i]) - 1) ELSE raw[i] END AS line
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS raw FROM documents WHERE text IS NOT NULL) d, unnest(range(1, len(raw) + 1)) AS u(i)),
+m AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) = '' AS blank FROM l),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m WHERE NOT blank),
+p AS (SELECT doc_id, CAST(min(i) AS INT) AS start_line, CAST(max(i) AS INT) AS end_line, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY doc_id, island)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1 AS piece_no, start_line, end_line, length(body) AS n_chars, sha256(body) AS digest FROM p""",
+    "chunk_ids": """
+SELECT id, substr(sha1(concat_ws(':', file_path, start_byte, end_byte)), 1, 16) AS computed, CAST(greatest(1, floor(length(coalesce(text, '')) / 4)) AS INT) AS tokens, end_byte - start_byte AS byte_length, end_line - start_line + 1 AS line_count
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS r FROM chunks) WHERE r = 1""",
     "embedding_cache": "SELECT sha256('hashing-v1:' || text) AS key, count(*) AS uses FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "orphan_vectors": "SELECT DISTINCT id FROM vectors WHERE id NOT IN (SELECT id FROM chunks WHERE text IS NOT NULL AND text <> '' AND id IS NOT NULL)",
     "embedding_cost": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(floor(sum(strlen(text)) * 0.3 / 4) AS BIGINT) AS tokens, round(floor(sum(strlen(text)) * 0.3 / 4) / 1e6 * 0.02, 6) AS usd FROM chunks WHERE text IS NOT NULL",
