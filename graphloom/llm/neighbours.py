@@ -24,7 +24,7 @@ from graphloom.session import materialize
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds and sizes. ``sample`` is the number of rows per cell a classifier is fitted on (more parts take more, 64 each)."""
+    """Bounds and sizes. ``sample`` is the expected number of rows per cell, selected by a hash of the id, that a classifier is fitted on (more parts take more, 64 each)."""
 
     k: int = 5
     rows_per_part: int = 2_000
@@ -281,7 +281,7 @@ def partition_search(reps: DataFrame, p: Params, min_similarity: float | None =
             raise ValueError(f"more than {p.max_cells} cells")
         largest = max(sizes.values(), default=0)
         parts = {c: min(p.max_parts, math.ceil(n / p.rows_per_part)) for c, n in sizes.items()}
-        share = {c: min(1.0, 1.2 * max(p.sample, 64 * parts[c]) / n) for c, n in sizes.items()}
+        share = {c: min(1.0, max(p.sample, 64 * parts[c]) / n) for c, n in sizes.items()}
         bound = spark.createDataFrame([(c, int(s * (1 << 31))) for c, s in share.items()], "cell string, bound bigint")
         sample = stored.join(F.broadcast(bound), "cell").where(F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 31)) <= F.col("bound"))
         fitted = sample.select("cell", "vec").groupBy("cell").applyInPandas(_fitter(parts, p), MODEL).collect()  # a few hundred kB per cell
