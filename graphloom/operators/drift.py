@@ -163,7 +163,7 @@ def _stitch(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 def one_per_file(files: DataFrame) -> DataFrame:
     """Each file_id once: the row written first (then the smallest body). Files without an id stay apart by kind, stream and time."""
-    rows = files.select("file_id", *STREAM, F.col("written_at").cast("timestamp").alias("written_at"), "body")
+    rows = files.select("file_id", *STREAM, "written_at", "body")
     own = F.when(F.col("file_id").isNull(), F.struct(*STREAM, "written_at")).alias("own")
     least = F.min(F.struct("written_at", *STREAM, "body")).alias("r")
     return rows.groupBy("file_id", own).agg(least).select("file_id", "r.doc_kind", "r.stream_key", "r.written_at", "r.body")
@@ -197,7 +197,7 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def field_values(files: DataFrame) -> DataFrame:
     """The tagged union in long form: one row per file and field, with the value's type tag and text (both null if empty)."""
-    return one_per_file(files).select("file_id", *STREAM, "written_at", "body").mapInPandas(_explode, FIELDS)
+    return one_per_file(files).select("file_id", *STREAM, F.col("written_at").cast("timestamp").alias("written_at"), "body").mapInPandas(_explode, FIELDS)
 
 
 def alternatives(files: DataFrame) -> DataFrame:

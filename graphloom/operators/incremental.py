@@ -27,9 +27,11 @@ def instant(text: F.Column) -> F.Column:
 
 
 def as_instant(df: DataFrame, name: str) -> F.Column:
-    """A timestamp column as an instant, zoneless ones read as UTC."""
-    kind = dict(df.dtypes)[name]
-    return F.to_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone()) if kind == "timestamp_ntz" else F.col(name).cast("timestamp")
+    """A timestamp column as an instant; one without zone is read as UTC, whatever the session's zone."""
+    zoneless = dict(df.dtypes)[name] == "timestamp_ntz"
+    if zoneless and df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        return F.concat(F.col(name).cast("string"), F.lit("Z")).cast("timestamp")
+    return F.col(name).cast("timestamp")
 
 
 def last_successful_runs(runs: DataFrame) -> DataFrame:

@@ -79,3 +79,18 @@ def test_runs_neither_skip_nor_repeat_through_failures(spark, tmp_path):
     assert [c.seq for c in log.commits()] == [1, 2, 3, 4]
     with pytest.raises(RuntimeError):
         log.publish(I.Commit(4, "a", "b", "c"))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_without_zone_are_utc_in_any_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2025-03-09 02:30:00.123456' AS t")
+        want = int(dt.datetime(2025, 3, 9, 2, 30, 0, 123456, tzinfo=dt.timezone.utc).timestamp() * 1e6)
+        assert df.select(I.F.unix_micros(I.as_instant(df, "t")).alias("u")).first()["u"] == want
+        texts = ["2025-03-09T02:30:00", "2025-03-09T02:30:00Z", "2025-03-08T21:30:00-05:00", "2025-03-09T11:30:00.000000+09:00", "nonsense", None]
+        got = [r["u"] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(I.F.unix_micros(I.instant(I.F.col("x"))).alias("u")).collect()]
+        assert got == [want - 123456] * 4 + [None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
