@@ -35,7 +35,26 @@ def profile_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (route_questions, index_coverage, trace_outcomes, profile_scores)}
 
+
+
+def _signal_sql(s: profiles.Signal) -> str:
+    if s.kind == "path_exists":
+        return "count(*) FILTER (regexp_matches(path, '^" + s.value.replace(".", "\\.").replace("*", "[^/]*") + "(/|$)'))"
+    if s.kind == "class_suffix_frequency":
+        return f"count(*) FILTER (starts_with(path, 'app/') AND ends_with(path, '{s.value}.php'))"
+    return "1" if s.value == "laravel/framework" else "0"
+
+
+def _profile_sql(name: str, signals: list[profiles.Signal]) -> str:
+    fired = " + ".join(f"CASE WHEN {_signal_sql(s)} >= {s.threshold} THEN {s.weight} ELSE 0 END" for s in signals)
+    return f"SELECT project_slug, '{name}' AS profile, ({fired}) / {float(sum(s.weight for s in signals))} * 100 AS score FROM f GROUP BY 1"
+
+
 ORACLE = {
+    "profile_scores": f"""
+WITH f AS (SELECT DISTINCT project_slug, regexp_replace(file_path, '^src/App/', 'app/') AS path FROM chunks),
+s AS ({' UNION ALL '.join(_profile_sql(n, ss) for n, ss in profiles.PROFILES.items())})
+SELECT *, row_number() OVER (PARTITION BY project_slug ORDER BY score DESC, profile) AS position FROM s""",
     "route_questions": router.routing_sql("(SELECT * FROM documents WHERE regexp_replace(lower(trim(source)), '[ _-]+', '_', 'g') = 'ask_log')", "doc_id", "text"),
     "trace_outcomes": """
 WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lower(trim(source)) = 'trace' AND text IS NOT NULL),

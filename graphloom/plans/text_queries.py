@@ -142,3 +142,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULL
 old AS (SELECT embedder_id, id, max(embedded_at) AS embedded_at FROM vectors WHERE embedded_at < '2025-05-01' AND embedder_id IS NOT NULL GROUP BY ALL)
 SELECT * FROM new UNION ALL SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.embedder_id = o.embedder_id AND new.id = o.id)""",
 }
+
+ORACLE["search_annotations"] = f"""
+WITH {_N}, hits AS (SELECT DISTINCT project_slug, node_id FROM ({ORACLE['semantic_search']}) WHERE kind = 'method'),
+own AS (SELECT project_slug, source AS node_id, arg_min(target, edge_seq) AS owner FROM edges WHERE kind = 'part_of' GROUP BY ALL),
+rts AS (SELECT project_slug, node_id, string_agg(DISTINCT label, '; ' ORDER BY label) AS related_routes FROM (
+  SELECT e.project_slug, e.target AS node_id, concat_ws(' ', array_to_string(CAST(n.a->'$.methods' AS VARCHAR[]), ','), n.a->>'$.uri') AS label FROM edges e JOIN n ON n.project_slug = e.project_slug AND n.id = e.source WHERE e.kind = 'routes_to') GROUP BY ALL)
+SELECT h.project_slug, h.node_id, related_routes, coalesce(n.a->>'$.class_fqn', CASE WHEN starts_with(owner, 'class:') THEN substr(owner, 7) ELSE owner END) AS container_class
+FROM hits h LEFT JOIN n ON n.project_slug = h.project_slug AND n.id = h.node_id LEFT JOIN own ON own.project_slug = h.project_slug AND own.node_id = h.node_id LEFT JOIN rts ON rts.project_slug = h.project_slug AND rts.node_id = h.node_id"""
+ORACLE["enriched_chunks"] = f"""
+WITH {_N},
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS r FROM chunks) WHERE r = 1 AND text IS NOT NULL AND text <> ''),
+t AS (SELECT e.project_slug, e.source AS node_id, array_to_string(list_sort(list(DISTINCT n.name) FILTER (e.kind = 'fires'))[1:5], ', ') AS fires, array_to_string(list_sort(list(DISTINCT n.name) FILTER (e.kind = 'dispatches'))[1:5], ', ') AS dispatches
+      FROM edges e JOIN n ON n.project_slug = e.project_slug AND n.id = e.target WHERE e.kind IN ('fires', 'dispatches') GROUP BY ALL),
+k AS (SELECT e.project_slug, e.target AS node_id, string_agg(concat_ws('::', n.a->>'$.class_fqn', n.name), ', ' ORDER BY edge_seq) AS callers
+      FROM (SELECT *, row_number() OVER (PARTITION BY project_slug, target ORDER BY edge_seq) AS i FROM edges WHERE kind = 'calls') e JOIN n ON n.project_slug = e.project_slug AND n.id = e.source WHERE i <= 5 GROUP BY ALL)
+SELECT c.project_slug, c.id, concat_ws(chr(10), concat_ws(': ', c.kind, coalesce(c.symbol, '')), CASE WHEN file_path || start_line || end_line <> '' THEN 'file: ' || file_path || ':' || start_line || '-' || end_line END,
+       'namespace: ' || nullif(n.a->>'$.namespace', ''), 'class: ' || nullif(n.a->>'$.class_fqn', ''), 'fires: ' || nullif(fires, ''), 'dispatches: ' || nullif(dispatches, ''), 'called by: ' || nullif(callers, ''), '', 'source:', regexp_replace(c.text, '\\s+$', '')) AS text
+FROM c LEFT JOIN n ON n.project_slug = c.project_slug AND n.id = c.node_id LEFT JOIN t ON t.project_slug = c.project_slug AND t.node_id = c.node_id LEFT JOIN k ON k.project_slug = c.project_slug AND k.node_id = c.node_id"""
