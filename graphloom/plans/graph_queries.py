@@ -22,6 +22,12 @@ def _call_trees(g: G.Graph, direction: str) -> DataFrame:
     return T.expand_call_tree(g, roots, direction, max_depth=3, max_nodes=200).select("project_slug", "root", "rank", "id", "depth", "via", "call_site_line")
 
 
+def _call_trees_of_all(g: G.Graph) -> DataFrame:
+    """Downstream from every caller, whether a route leads to it or not."""
+    roots = g.edges_of("calls").select("project_slug", F.col("source").alias("root")).distinct()
+    return T.expand_call_tree(g, roots).select("project_slug", "root", "rank", "id", "depth", "via", "call_site_line")
+
+
 def _bfs(g: G.Graph) -> DataFrame:
     roots = g.of_kind("route").select("project_slug", F.col("id").alias("root"))
     return G.bfs(g, roots, ["routes_to", "calls", "part_of", "fires"], max_depth=3, node_limit=50).select("project_slug", "root", "rank", "id", "depth")
@@ -58,6 +64,7 @@ QUERIES = {
     "find_cache_users": _on_graph(T.find_cache_users),
     "cache_keys_matching": _on_graph(lambda g: T.cache_keys_matching(g, "*.list")),
     "expand_call_tree": _on_graph(lambda g: _call_trees(g, "downstream")),
+    "expand_call_tree_all": _on_graph(_call_trees_of_all),
     "expand_call_tree_upstream": _on_graph(lambda g: _call_trees(g, "upstream")),
     "bfs": _on_graph(_bfs),
     "dangling_edges": _on_graph(_dangling),
@@ -87,11 +94,11 @@ FROM routes r LEFT JOIN (
 _CLASSES = f"cls AS (SELECT project_slug, kind, substr(id, 7) AS fqn, name AS short_name, a->>'$.file' AS file, a->>'$.namespace' AS namespace FROM n WHERE starts_with(id, 'class:') AND kind IN ({_KINDS}))"
 
 
-def _tree(kind: str, parent: str, child: str) -> str:
-    """Three levels of a breadth-first walk, first discovery by the discoverer's rank and the edge's order."""
+def _tree(kind: str, parent: str, child: str, end: str = "target") -> str:
+    """Three levels of a breadth-first walk from one end of the edges of a kind, first discovery by the discoverer's rank and the edge's order."""
     steps = f"""
 steps AS (SELECT e.project_slug, e.{parent} AS p, e.{child} AS c, e.edge_seq FROM e JOIN n ON n.project_slug = e.project_slug AND n.id = e.{child} WHERE e.kind = 'calls'),
-l0 AS (SELECT DISTINCT e.project_slug, e.target AS root, e.target AS id, CAST(-1 AS BIGINT) AS rank FROM e JOIN n ON n.project_slug = e.project_slug AND n.id = e.target WHERE e.kind = '{kind}')"""
+l0 AS (SELECT DISTINCT e.project_slug, e.{end} AS root, e.{end} AS id, CAST(-1 AS BIGINT) AS rank FROM e JOIN n ON n.project_slug = e.project_slug AND n.id = e.{end} WHERE e.kind = '{kind}')"""
     levels = []
     for d in (1, 2, 3):
         seen = " UNION ALL ".join(f"SELECT project_slug, root, id FROM l{i}" for i in range(d))
@@ -205,6 +212,7 @@ FROM f LEFT JOIN m ON m.project_slug = f.project_slug AND m.bare = regexp_replac
        coalesce(nullif(TRY_CAST(i.ea->>'$.line' AS INT), 0), TRY_CAST(sa->>'$.line' AS INT)) AS line, i.ea->>'$.form' AS form FROM inc i JOIN out o USING (edge_seq) WHERE i.kind IN ('cache_read', 'cache_write') AND o.tkind = 'cache_key'""",
     "cache_keys_matching": f"WITH {_N} SELECT DISTINCT project_slug, name AS key FROM n WHERE kind = 'cache_key' AND regexp_matches(name, '(?s)^.*\\.list$')",
     "expand_call_tree": _tree("routes_to", "source", "target"),
+    "expand_call_tree_all": _tree("calls", "source", "target", "source"),
     "expand_call_tree_upstream": _tree("calls", "target", "source"),
     "bfs": _bfs_sql(3, 50),
     "get_request_flow": f"""WITH {_N}, {_LISTENERS},

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.glob import glob_regex
 from graphloom.operators import graph as G
+from graphloom.plans import graph_queries as Q
 from graphloom.plans import tools as T
 from helpers import make_graph, method
 
@@ -138,3 +139,10 @@ def test_empty_graph(spark):
     g = make_graph(spark, [], [])
     for f in (T.list_routes, T.list_modules, T.describe_class, T.get_model_context, T.trace_route, T.listeners, T.find_event_chains, T.get_request_flow, T.get_policy_for, T.resolve_binding, T.list_scheduled_tasks):
         assert f(g).count() == 0
+
+
+def test_call_trees_of_all_start_at_callers_no_route_leads_to(spark):
+    g = make_graph(spark, [("route:r", "route", "r", {}), method("Routed", "a"), method("Job", "b"), method("Deep", "c")], [("route:r", "method:Routed::a", "routes_to"), ("method:Routed::a", "method:Deep::c", "calls"), ("method:Job::b", "method:Deep::c", "calls", {"line": 7})])
+    rows = {(r["root"], r["id"], r["depth"], r["call_site_line"]) for r in Q._call_trees_of_all(g).collect()}
+    assert rows == {("method:Routed::a", "method:Deep::c", 1, None), ("method:Job::b", "method:Deep::c", 1, 7)}
+    assert "expand_call_tree_all" in Q.QUERIES and "expand_call_tree_all" in Q.ORACLE
