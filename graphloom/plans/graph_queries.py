@@ -28,9 +28,9 @@ def _call_trees_of_all(g: G.Graph) -> DataFrame:
     return T.expand_call_tree(g, roots).select("project_slug", "root", "rank", "id", "depth", "via", "call_site_line")
 
 
-def _bfs(g: G.Graph) -> DataFrame:
+def _bfs(g: G.Graph, **bounds: int) -> DataFrame:
     roots = g.of_kind("route").select("project_slug", F.col("id").alias("root"))
-    return G.bfs(g, roots, ["routes_to", "calls", "part_of", "fires"], max_depth=3, node_limit=50).select("project_slug", "root", "rank", "id", "depth")
+    return G.bfs(g, roots, ["routes_to", "calls", "part_of", "fires"], **bounds).select("project_slug", "root", "rank", "id", "depth")
 
 
 def _dangling(g: G.Graph) -> DataFrame:
@@ -66,7 +66,8 @@ QUERIES = {
     "expand_call_tree": _on_graph(lambda g: _call_trees(g, "downstream")),
     "expand_call_tree_all": _on_graph(_call_trees_of_all),
     "expand_call_tree_upstream": _on_graph(lambda g: _call_trees(g, "upstream")),
-    "bfs": _on_graph(_bfs),
+    "bfs": _on_graph(lambda g: _bfs(g, max_depth=3, node_limit=50)),
+    "bfs_full": _on_graph(_bfs),
     "dangling_edges": _on_graph(_dangling),
 }
 
@@ -215,6 +216,7 @@ FROM f LEFT JOIN m ON m.project_slug = f.project_slug AND m.bare = regexp_replac
     "expand_call_tree_all": _tree("calls", "source", "target", "source"),
     "expand_call_tree_upstream": _tree("calls", "target", "source"),
     "bfs": _bfs_sql(3, 50),
+    "bfs_full": _bfs_sql(5, 200),
     "get_request_flow": f"""WITH {_N}, {_LISTENERS},
 f AS (SELECT DISTINCT h.project_slug, h.route_id, {_BARE.format('o.target')} AS event, o.tname AS event_name FROM hh h JOIN out o ON o.project_slug = h.project_slug AND o.source = h.method_id AND o.kind = 'fires'),
 l AS (SELECT DISTINCT project_slug, event, listener_id, short_name, listener_fqn, method FROM lis),

@@ -146,3 +146,13 @@ def test_call_trees_of_all_start_at_callers_no_route_leads_to(spark):
     rows = {(r["root"], r["id"], r["depth"], r["call_site_line"]) for r in Q._call_trees_of_all(g).collect()}
     assert rows == {("method:Routed::a", "method:Deep::c", 1, None), ("method:Job::b", "method:Deep::c", 1, 7)}
     assert "expand_call_tree_all" in Q.QUERIES and "expand_call_tree_all" in Q.ORACLE
+
+
+def test_full_bfs_goes_five_levels_deep_and_on_to_two_hundred_nodes(spark):
+    chain, hub = [f"c{i}" for i in range(7)], [f"h{i:03}" for i in range(210)]
+    nodes = [("route:deep", "route", "deep", {}), ("route:wide", "route", "wide", {})] + [(i, "method", i, {}) for i in chain + hub]
+    edges = [("route:deep", "c0", "routes_to"), *[(a, b, "calls") for a, b in zip(chain, chain[1:])], *[("route:wide", i, "routes_to") for i in hub]]
+    rows = Q._bfs(make_graph(spark, nodes, edges)).collect()
+    assert sorted((r["depth"], r["id"]) for r in rows if r["root"] == "route:deep") == [(0, "route:deep"), *enumerate(chain[:5], 1)]
+    assert sorted(r["id"] for r in rows if r["root"] == "route:wide") == [*hub[:199], "route:wide"]
+    assert {"bfs_full"} <= set(Q.QUERIES) & set(Q.ORACLE)
