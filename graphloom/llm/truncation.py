@@ -389,13 +389,19 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limits: list[int], rou
     return mu, sigma, posterior
 
 
-def candidate_limits(lengths: np.ndarray, counts: np.ndarray, least: int = 5, excess: float = 4.0) -> list[int]:
-    """Lengths at least ``least`` times there and ``excess`` times as frequent as lengths nearby (within a tenth, itself left out)."""
+LEAST = 5
+
+
+def candidate_limits(lengths: np.ndarray, counts: np.ndarray, least: int = LEAST, excess: float = 4.0) -> list[int]:
+    """Lengths at least ``least`` times there and ``excess`` times as frequent as lengths nearby (within a tenth, itself left out).
+
+    Lengths that are no whole numbers stand for several merged ones: they count as nearby and are never limits themselves.
+    """
     order = np.argsort(lengths)
     n, c = lengths[order], counts[order].astype(float)
     total = np.append(0, np.cumsum(c))
     out = []
-    for i in np.flatnonzero(c >= least):
+    for i in np.flatnonzero((c >= least) & (n == np.floor(n))):
         width = max(5, int(0.1 * n[i]))
         lo, hi = np.searchsorted(n, n[i] - width), np.searchsorted(n, n[i] + width, side="right")
         near = (total[hi] - total[lo] - c[i]) / (2 * width)
@@ -419,12 +425,15 @@ def _limits(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 def length_limits(docs: DataFrame) -> DataFrame:
     """(source, unit, length, documents, posterior, mu, sigma): the candidate limits of each source, in characters or bytes.
 
-    Only the histogram of lengths is grouped per source; lengths above 100,000 are binned to three digits, so it is bounded.
+    Only the histogram of lengths is grouped per source. Lengths seen often enough to be a limit are exact at every size; above
+    100,000 the rarer ones are merged by the thousand, at half a length past the middle, where no text's length lies.
     A source without limits has one row per unit with a null length.
     """
     units = F.explode(F.array(F.struct(F.lit("char").alias("unit"), F.col("n_char").alias("length")), F.struct(F.lit("byte").alias("unit"), F.col("n_byte").alias("length"))))
-    coarse = F.when(F.col("u.length") > 100_000, F.round(F.col("u.length"), -3)).otherwise(F.col("u.length")).cast("bigint")
-    hist = docs.select("source", units.alias("u")).groupBy("source", F.col("u.unit").alias("unit"), coarse.alias("length")).agg(F.count("*").alias("n"))
+    exact = docs.select("source", units.alias("u")).groupBy("source", F.col("u.unit").alias("unit"), F.col("u.length").alias("length")).agg(F.count("*").alias("n"))
+    rare = (F.col("length") > 100_000) & (F.col("n") < LEAST)
+    place = F.when(rare, F.floor(F.col("length") / 1000) * 1000 + 500.5).otherwise(F.col("length")).cast("double")
+    hist = exact.groupBy("source", "unit", place.alias("length")).agg(F.sum("n").alias("n"))
     return hist.groupBy("source", "unit").applyInPandas(_limits, LIMITS)
 
 

@@ -89,3 +89,12 @@ def test_one_ending_agrees_with_the_counts(text):
     own, general, whole = (int(b[-1]) for b in T.contexts("s", found))
     last, where = T.ending("s", text)
     assert not last or (where == (own, general, whole) and last[-1] is found[-1])
+
+
+def test_limits_of_long_texts_are_exact(spark):
+    rng = np.random.default_rng(4)
+    n = np.minimum(np.exp(rng.normal(11.6, 0.3, 4_000)).astype(int), 131_072)
+    docs = spark.createDataFrame([("a", int(x), int(x) + 7) for x in n], "source string, n_char int, n_byte int")
+    rows = T.length_limits(docs).collect()
+    assert {(r["unit"], r["length"]): r["documents"] for r in rows} == {("char", 131_072): int((n == 131_072).sum()), ("byte", 131_079): int((n == 131_072).sum())}
+    assert all(r["posterior"] > 0.9 and r["mu"] == pytest.approx(11.6, abs=0.05) for r in rows)
