@@ -3,8 +3,8 @@
 1. Per source, a log-normal length distribution is fitted by maximum likelihood, with the texts at candidate limits (lengths
    far more frequent than their surroundings) treated as right-censored; this gives each limit's censoring posterior.
 2. The ending of every text is described by a few discrete features. Two of them need the corpus: how often the last tokens end
-   a line or sentence, and how often the last word occurs whole. They come from counts over all texts, hashed into a table of
-   fixed size.
+   a line or sentence, and how often the last word occurs whole. They come from counts over all texts, joined by 64-bit keys
+   to the endings that ask for them, so nothing is gathered and no two keys share a count.
 3. The distribution of the features under a cut is known, from one hash-seeded artificial cut of every text; that of whole
    texts, and each source's rate of cuts at and off its limits, follow by expectation maximisation from the real endings,
    starting from the censoring posteriors.
@@ -13,10 +13,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from graphloom.session import materialize
 
-#: Size of the hashed count tables: bounds what is gathered and broadcast, whatever the corpus.
-BUCKETS = 1 << 22
+#: Keys a task holds before it adds up their counts and sends them on.
+HELD = 1 << 20
 
 #: What cutting programs put behind a cut.
 MARKERS = re.compile(r"(?:\s*(?://|#|--|/\*)?\s*[\[(<]\s*(?:truncated|cut|snip(?:ped)?|more|continued|\.\.\.|…)[^\])>\n]{0,20}[\])>](?:\s*\*/)?)$", re.I)
@@ -63,12 +63,12 @@ MASK = (1 << 64) - 1
 
 def text_hash(text: str) -> int:
     """64 bits of a text, the same in every process."""
-    data = text.encode("utf-8", "replace")
-    return (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & MASK
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big")
 
 
-def bucket(*parts: str) -> int:
-    return text_hash("\x00".join(parts)) % BUCKETS
+def signed(h: int) -> int:
+    """A hash as a bigint."""
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Token:
@@ -83,7 +83,7 @@ class Token:
         self.alike = text_hash("X" if s in ("A", "C", "m") else s)
         self.flags = NEWLINE * (kind == "nl") + CAPITAL * (s == "A") + STOP * (text in (".", "!", "?")) + UPPER * text[0].isupper()
         found = PIECE.findall(text) if kind in ("word", "name", "key", "path", "var", "other") else []
-        self.pieces = [bucket("w", p.lower()) for p in found]
+        self.pieces = [signed(text_hash("w\x00" + p.lower())) for p in found]
         self.last_piece = self.pieces[-1] if found and text[-1].isalpha() else None
 
 
@@ -111,13 +111,13 @@ _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(LONGE
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
 
 
-def _to_bucket(h: np.ndarray) -> np.ndarray:
+def _to_key(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _M1
-    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 def contexts(source: str, found: list[Token]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token the buckets of the last three shapes up to it within its line, for its source and for all; and of its line as a whole.
+    """Per token the keys of the last three shapes up to it within its line, for its source and for all; and of its line as a whole.
 
     A capitalised word that begins a line counts as itself. In whole lines names are all alike; -1 stands for lines of more
     than LONGEST_LINE tokens, which hardly ever repeat.
@@ -140,8 +140,8 @@ def contexts(source: str, found: list[Token]) -> tuple[np.ndarray, np.ndarray, n
         alike = np.where(capital, literal, np.fromiter((t.alike for t in found), np.uint64, n))
         total = np.cumsum(alike * _POWERS[np.minimum(place, LONGEST_LINE - 1)], dtype=np.uint64)
         line = total - np.where(start > 0, total[np.maximum(start - 1, 0)], np.uint64(0))
-        whole = np.where(place < LONGEST_LINE, _to_bucket(line ^ np.uint64(text_hash("line"))), -1)
-        return _to_bucket(three ^ np.uint64(text_hash("s\x00" + source))), _to_bucket(three), whole
+        whole = np.where(place < LONGEST_LINE, _to_key(line ^ np.uint64(_LINE)), -1)
+        return _to_key(three ^ np.uint64(_source_hash(source))), _to_key(three), whole
 
 
 def strip_end(text: str) -> tuple[str, str]:
@@ -157,8 +157,8 @@ def strip_end(text: str) -> tuple[str, str]:
     return bare, "plain"
 
 
-def count_tokens(source: str, text: str, total: np.ndarray, ends: np.ndarray) -> None:
-    """Add a text's token contexts, line and sentence ends and word pieces; the last token is left out, it is what is to be judged."""
+def count_tokens(source: str, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, whether each ends a line or sentence) of a text's token contexts, lines and word pieces; the last token is left out, it is what is to be judged."""
     bare, _ = strip_end(text)
     found, stops = tokens(bare)
     if len(found) < 2:
@@ -170,24 +170,32 @@ def count_tokens(source: str, text: str, total: np.ndarray, ends: np.ndarray) ->
     sentence = ((flags[:-1] & STOP) > 0) & ((flags[1:] & UPPER) > 0)
     for i in np.flatnonzero(sentence):
         sentence[i] = bare[stops[i] : stops[i] + 1].isspace()
-    for b in (own[:-1], general[:-1]):
-        np.add.at(total, b[here], 1)
-        np.add.at(ends, b[here & (line_end | sentence)], 1)
-    lines = whole[:-1][here & line_end & (whole[:-1] >= 0)]
-    np.add.at(total, lines, 1)
-    np.add.at(ends, lines, 1)
-    np.add.at(total, np.array([p for t in found[:-1] for p in t.pieces], np.int64), 1)
+    for keys in (own[:-1], general[:-1]):
+        yield keys[here], (line_end | sentence)[here]
+    lines = whole[:-1][here & line_end & (whole[:-1] != -1)]
+    yield lines, np.ones(len(lines), bool)
+    pieces = np.array([p for t in found[:-1] for p in t.pieces], np.int64)
+    yield pieces, np.zeros(len(pieces), bool)
+
+
+def _added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    ends = np.bincount(at[np.concatenate([e for _, e in held])], minlength=len(keys))
+    return pd.DataFrame({"key": keys, "total": np.bincount(at, minlength=len(keys)), "ends": ends})
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, ends = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    held, n = [], 0
     for batch in batches:
         for source, text in zip(batch["source"], batch["text"]):
-            count_tokens(source or "", text, total, ends)
-    keys = np.flatnonzero(total)
-    for lo in range(0, len(keys), 100_000):
-        part = keys[lo : lo + 100_000]
-        yield pd.DataFrame({"bucket": part, "total": total[part].astype(np.int64), "ends": ends[part].astype(np.int64)})
+            for keys, ends in count_tokens(source or "", text):
+                held.append((keys, ends))
+                n += len(keys)
+            if n >= HELD:
+                yield _added_up(held)
+                held, n = [], 0
+    if held:
+        yield _added_up(held)
 
 
 def ending(source: str, bare: str) -> tuple[list[Token], tuple[int, int, int]]:
@@ -205,8 +213,8 @@ def ending(source: str, bare: str) -> tuple[list[Token], tuple[int, int, int]]:
     whole = -1
     if whole_line and len(found) <= LONGEST_LINE:
         h = sum((t.literal if k == 0 and t.flags & CAPITAL else t.alike) * p for k, (t, p) in enumerate(zip(found, _PYTHON_POWERS))) & MASK
-        whole = _one_bucket(h ^ _LINE)
-    return found, (_one_bucket(three ^ _source_hash(source)), _one_bucket(three), whole)
+        whole = _one_key(h ^ _LINE)
+    return found, (_one_key(three ^ _source_hash(source)), _one_key(three), whole)
 
 
 _PYTHON_POWERS, _LINE = [int(p) for p in _POWERS], text_hash("line")
@@ -217,53 +225,19 @@ def _source_hash(source: str) -> int:
     return text_hash("s\x00" + source)
 
 
-def _one_bucket(h: int) -> int:
+def _one_key(h: int) -> int:
     h = ((h ^ (h >> 33)) * int(_M1)) & MASK
-    return (h ^ (h >> 29)) % BUCKETS
-
-
-def _text_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for h, source, text in zip(batch["h"], batch["source"], batch["text"]):
-            found, where = ending(source or "", strip_end(text)[0])
-            if found:
-                out += [(b, h) for b in where if b >= 0]
-                if found[-1].last_piece is not None:
-                    out.append((found[-1].last_piece, h))
-        yield pd.DataFrame(out, columns=["bucket", "h"]).astype("int64")
-
-
-def corpus_counts(texts: DataFrame) -> dict[str, np.ndarray]:
-    """Three arrays of BUCKETS counts over all texts: inner occurrences, those that end a line or sentence, and distinct texts off
-    the limits that end so (at a limit most endings are cuts and prove nothing).
-
-    Each task counts into its own table first, so at most BUCKETS rows per task are shuffled and at most BUCKETS rows reach
-    the driver.
-    """
-    inner = texts.select("source", "text").mapInPandas(_count, "bucket bigint, total bigint, ends bigint")
-    last = texts.where("limit_key = 'off'").select(F.xxhash64("text").alias("h"), "source", "text").mapInPandas(_text_ends, "bucket bigint, h bigint")
-    last = last.distinct().groupBy("bucket").agg(F.count("*").alias("texts"))
-    inner = inner.groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
-    rows = inner.join(last, "bucket", "full").na.fill(0).withColumn("slab", F.expr(f"cast(bucket div {SLAB} AS int)"))
-    out = {c: np.zeros(BUCKETS, np.float32) for c in ("total", "ends", "texts")}
-    for r in rows.groupBy("slab").applyInPandas(_slab, "slab int, total binary, ends binary, texts binary").collect():
-        for c in out:
-            out[c][r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(r[c], np.float32)
-    return out
-
-
-SLAB = 1 << 17
+    return signed(h ^ (h >> 29))
 
 
-def _slab(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """A stretch of the tables as bytes."""
-    out = {"slab": [key[0]]}
-    for c in ("total", "ends", "texts"):
-        part = np.zeros(SLAB, np.float32)
-        part[frame["bucket"].to_numpy(np.int64) - key[0] * SLAB] = frame[c].to_numpy(np.float32)
-        out[c] = [part.tobytes()]
-    return pd.DataFrame(out)
+def corpus_counts(sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, total, ends, texts) over all texts: inner occurrences, those that end a line or sentence, and distinct texts off the
+    limits that end so (at a limit most endings are cuts and prove nothing)."""
+    inner = texts.select("source", "text").mapInPandas(_count, "key bigint, total bigint, ends bigint")
+    inner = inner.groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
+    last = sketches.where("limit_key = 'off'").select(F.explode("real_keys").alias("key"), "h").where("key IS NOT NULL").distinct()
+    last = last.groupBy("key").agg(F.count("*").alias("texts"))
+    return inner.join(last, "key", "full").na.fill(0)
 
 
 def _balance(text: str) -> bool:
@@ -301,55 +275,64 @@ def structure(text: str) -> str:
     return "flat" if _balance(text) else "open"
 
 
-def describe(source: str, text: str, counts: dict[str, np.ndarray], own_end: float, own_inner: float = 0.0) -> str:
-    """The features of an ending, as one word. What the text itself added to the counts, as an ending or inside, is taken out."""
+NO_KEYS = [None] * 4
+
+
+def sketch(source: str, text: str) -> tuple[str, list[int | None]]:
+    """The features of an ending as one word, and the keys of its contexts, line and last piece; ? and @ stand for what their counts tell."""
     bare, after = strip_end(text)
     found, (own, general, whole) = ending(source, bare)
     if not found:
-        return "none"
+        return "none", NO_KEYS
+    keys = [own, general, None if whole == -1 else whole, found[-1].last_piece]
     if after in ("marker", "broken"):
-        return after
+        return after, keys
     kind, t = found[-1].kind, found[-1].text
-    seen, ended = 0.0, 0.0
-    for b in (own, general):
-        texts = max(0.0, float(counts["texts"][b]) - own_end)
-        seen = max(0.0, float(counts["total"][b]) - own_inner) + texts
-        ended = float(counts["ends"][b]) + texts
-        if seen >= 3:
-            break
-    share = ended / seen if seen >= 3 else 0.0
     last = "stop" if t in ".!?" else "close" if t in ")]}`*/\"'" else "mark" if kind == "mark" else "word"
     built = structure(bare)
     if built == "open" or last == "mark":
-        return "|".join((built, last, after))
+        return "|".join((built, last, after)), keys
     if last in ("stop", "close"):
-        return "|".join((built, last, "never" if seen >= 20 and share < 0.02 else "any", after))
-    word = "-"
-    if (piece := found[-1].last_piece) is not None:
-        inside = max(0.0, float(counts["total"][piece]) - own_inner)
-        last_in = max(0.0, float(counts["texts"][piece]) - own_end)
-        word = "known" if inside + last_in >= 3 and inside >= 0.2 * last_in else "odd"
-    if whole >= 0 and float(counts["ends"][whole]) + max(0.0, float(counts["texts"][whole]) - own_end) >= 3:
-        ends = "line"
-    elif len(found) <= 2 and len(bare) < 40:
-        ends = "tiny"
-    else:
-        ends = "low" if share < 0.15 else "mid" if share < 0.6 else "high"
-    return "|".join((built, last, word, ends, after))
-
-
-def _features(counts):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = counts.value
-        for batch in batches:
-            real, made = [], []
-            for h, source, limit, text in zip(batch["h"], batch["source"], batch["limit_key"], batch["text"]):
-                real.append(describe(source or "", text, c, 1.0 if limit == "off" else 0.0))
-                at = 1 + (int(h) & 0x7FFFFFFF) % max(1, len(text) - 1)  # anywhere but at the end
-                made.append(describe(source or "", text[:at], c, 0.0, 0.0 if text[at : at + 1].isalnum() else 1.0))
-            yield batch[["doc_id", "source", "limit_key"]].assign(real=real, made=made)
-
-    return run
+        return "|".join((built, last, "?", after)), keys
+    return "|".join((built, last, "@", "tiny?" if len(found) <= 2 and len(bare) < 40 else "?", after)), keys
+
+
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        real, made, inside = [], [], []
+        for h, source, text in zip(batch["h"], batch["source"], batch["text"]):
+            real.append(sketch(source or "", text))
+            at = 1 + (int(h) & 0x7FFFFFFF) % max(1, len(text) - 1)  # anywhere but at the end
+            made.append(sketch(source or "", text[:at]))
+            inside.append(0 if text[at : at + 1].isalnum() else 1)
+        columns = {f"{name}_{what}": [x[i] for x in rows] for name, rows in (("real", real), ("made", made)) for i, what in enumerate(("word", "keys"))}
+        yield batch[["doc_id", "source", "limit_key", "h"]].assign(**columns, inside=inside)
+
+
+def _word(name: str, own_end: Column, own_inner: Column) -> Column:
+    """A sketch with what the counts of its keys tell filled in. What the text itself added to them, as an ending or inside, is taken out."""
+    word, at = F.col(f"{name}_word"), lambda slot, what: F.coalesce(F.col("counts")[F.lit(f"{name}{slot}")][what], F.lit(0))
+    texts = [F.greatest(F.lit(0), at(k, "texts") - own_end) for k in range(4)]
+    inner = [F.greatest(F.lit(0), at(k, "total") - own_inner) for k in range(4)]
+    seen, ended = [inner[k] + texts[k] for k in (0, 1)], [at(k, "ends") + texts[k] for k in (0, 1)]
+    often = F.when(seen[0] >= 3, seen[0]).otherwise(seen[1])
+    share = F.when(seen[0] >= 3, ended[0] / seen[0]).when(seen[1] >= 3, ended[1] / seen[1]).otherwise(0.0)
+    stop = F.when((often >= 20) & (share < 0.02), "never").otherwise("any")
+    known = F.when(F.col(f"{name}_keys")[3].isNull(), "-").when((inner[3] + texts[3] >= 3) & (inner[3] >= 0.2 * texts[3]), "known").otherwise("odd")
+    ends = F.when(F.col(f"{name}_keys")[2].isNotNull() & (at(2, "ends") + texts[2] >= 3), "line").when(word.contains("tiny?"), "tiny").when(share < 0.15, "low").when(share < 0.6, "mid").otherwise("high")
+    filled = F.replace(F.replace(F.replace(word, F.lit("tiny?"), F.lit("?")), F.lit("?"), F.when(word.contains("@"), ends).otherwise(stop)), F.lit("@"), known)
+    return F.when(word.contains("?"), filled).otherwise(word)
+
+
+def describe(texts: DataFrame) -> DataFrame:
+    """(doc_id, source, limit_key, real, made): the endings of texts (doc_id, source, limit_key, h, text) and of one artificial cut of each."""
+    sketches = texts.mapInPandas(_sketches, "doc_id bigint, source string, limit_key string, h bigint, real_word string, real_keys array<bigint>, made_word string, made_keys array<bigint>, inside int")
+    sketches = materialize(sketches.withColumn("row", F.monotonically_increasing_id()))
+    slots = [F.struct(F.lit(f"{name}{k}").alias("slot"), F.when(F.col(f"{name}_word").contains("?"), F.col(f"{name}_keys")[k]).alias("key")) for name in ("real", "made") for k in range(4)]
+    asked = sketches.select("row", F.explode(F.array(*slots)).alias("s")).select("row", "s.*").where("key IS NOT NULL")
+    told = asked.join(corpus_counts(sketches, texts), "key").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("total", "ends", "texts")))).alias("counts"))
+    off = F.when(F.col("limit_key") == "off", 1).otherwise(0)
+    return sketches.join(told, "row", "left").select("doc_id", "source", "limit_key", _word("real", off, F.lit(0)).alias("real"), _word("made", F.lit(0), F.col("inside")).alias("made"))
 
 
 def _normal_sf(z):
@@ -510,7 +493,6 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     the probability that the text was cut. Null, empty and blank texts have no row; a null or blank source is a source of its
     own; repeated texts are judged alike, each under its own id; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S"))
     sized = rows.withColumns({"n_char": F.length("text"), "n_byte": F.octet_length("text")})
     limits = materialize(length_limits(sized).where("posterior > 0.3").select("source", "unit", "length", "posterior"))
@@ -521,11 +503,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
         .join(by_byte, F.col("source").eqNullSafe(F.col("bs")) & (F.col("n_byte") == F.col("bl")), "left")
         .withColumn("limit_key", F.when(F.col("cl").isNotNull(), F.concat(F.lit("char:"), "cl")).when(F.col("bl").isNotNull(), F.concat(F.lit("byte:"), "bl")).otherwise("off"))
     )
-    counts = spark.sparkContext.broadcast(corpus_counts(at))
-    described = at.select("doc_id", "source", "limit_key", F.xxhash64("text").alias("h"), "text").mapInPandas(
-        _features(counts), "doc_id bigint, source string, limit_key string, real string, made string"
-    )
-    described = materialize(described)
+    described = materialize(describe(at.select("doc_id", "source", "limit_key", F.xxhash64("text").alias("h"), "text")))
     real = described.groupBy("source", "limit_key", F.col("real").alias("ending")).agg(F.count("*").alias("n"))
     made = described.groupBy("source", F.lit("made").alias("limit_key"), F.col("made").alias("ending")).agg(F.count("*").alias("n"))
     tally = materialize(real.unionByName(made))

@@ -98,3 +98,18 @@ def test_limits_of_long_texts_are_exact(spark):
     rows = T.length_limits(docs).collect()
     assert {(r["unit"], r["length"]): r["documents"] for r in rows} == {("char", 131_072): int((n == 131_072).sum()), ("byte", 131_079): int((n == 131_072).sum())}
     assert all(r["posterior"] > 0.9 and r["mu"] == pytest.approx(11.6, abs=0.05) for r in rows)
+
+
+def test_keys_of_many_words_do_not_collide():
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz" for d in ("ab", "ec", "id", "of", "ug")] + [chr(0x4E00 + i) + chr(0x4E00 + j) for i in range(200) for j in range(200)]
+    assert len({T.Token("word", w).pieces[0] for w in words}) == len(set(words))
+    halves = {(h >> 32) ^ (h & 0xFFFFFFFF) for h in map(T.text_hash, ("abcd", "efgh", "ijkl"))}
+    assert len(halves) == 3  # the two halves of a hash are independent
+
+
+def test_counts_are_those_of_the_texts(spark):
+    rows = [(i, "news", "off", i, t) for i, t in enumerate(["Alpha beta.\nGamma beta gamma", "Alpha delta.\nGamma"])]
+    texts = spark.createDataFrame(rows, "doc_id bigint, source string, limit_key string, h bigint, text string")
+    sketches = texts.mapInPandas(T._sketches, "doc_id bigint, source string, limit_key string, h bigint, real_word string, real_keys array<bigint>, made_word string, made_keys array<bigint>, inside int")
+    counts = {r["key"]: (r["total"], r["texts"]) for r in T.corpus_counts(sketches, texts).collect()}
+    assert [counts[T.Token("word", w).last_piece] for w in ("alpha", "beta", "gamma", "delta")] == [(2, 0), (2, 0), (1, 2), (1, 0)]
