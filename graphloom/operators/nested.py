@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -88,22 +88,45 @@ def places(value, kind: str) -> list[tuple[int, str | None, object]]:
     return [x for x in found if x[2] is not None]
 
 
-def identity(value) -> str:
-    """The Merkle identity of a JSON value: equal for equal values, whatever the order of their keys."""
+def _identity(value, of: Callable[[object], str]) -> str:
+    """The hash of a value, given those of its children."""
     h = hashlib.blake2b(digest_size=16)
     if isinstance(value, dict):
         h.update(b"{")
         for k in sorted(value):
-            h.update(json.dumps(k).encode() + b":" + identity(value[k]).encode() + b",")
+            h.update(json.dumps(k).encode() + b":" + of(value[k]).encode() + b",")
     elif isinstance(value, list):
         h.update(b"[")
         for v in value:
-            h.update(identity(v).encode() + b",")
+            h.update(of(v).encode() + b",")
     else:
         h.update(json.dumps(value).encode())
     return h.hexdigest()
 
 
+def identity(value) -> str:
+    """The Merkle identity of a JSON value: equal for equal values, whatever the order of their keys."""
+    try:
+        return _identity(value, identity)
+    except RecursionError:
+        return _deep_identity(value)
+
+
+def _deep_identity(value) -> str:
+    """The same with a stack of its own, whatever the depth."""
+    done: dict[int, str] = {}
+    stack = [(value, False)]
+    while stack:
+        at, ready = stack.pop()
+        children = at.values() if isinstance(at, dict) else at if isinstance(at, list) else ()
+        if ready or not children:
+            done[id(at)] = _identity(at, lambda v: done[id(v)])
+        else:
+            stack.append((at, True))
+            stack += [(v, False) for v in children if id(v) not in done]
+    return done[id(value)]
+
+
 def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
@@ -155,7 +178,7 @@ def _bridge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 doc = None if pd.isna(doc) else int(doc)
                 for section, pos, _, _, parent, child, value in occurrences(body):
                     out.append((doc, root, section, pos, identity(parent), child, identity(value)))
-            except (Unreadable, RecursionError):
+            except Unreadable:
                 continue
         frame = pd.DataFrame(out, columns=["document_id", "root_id", "section", "parent_pos", "parent_id", "child_pos", "child_id"])
         frame["document_id"] = frame["document_id"].astype("Int64")
@@ -176,7 +199,7 @@ def _objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if (key := k + identity(v)) not in seen:
                             seen.add(key)
                             out.append((key[len(k) :], k, owner, canonical(v)))
-            except (Unreadable, RecursionError):
+            except Unreadable:
                 continue
         yield pd.DataFrame(out, columns=["object_id", "object_kind", "owner", "body"])
 
@@ -193,7 +216,8 @@ def latest_documents(docs: DataFrame, key: str = "document_id", at: str = "recei
 def bridge_rows(docs: DataFrame) -> DataFrame:
     """One row per listener, wildcard listener, binding and enum case of the latest readable body of each document.
 
-    Rows of unreadable bodies (null, empty, invalid) are absent; extra columns of ``docs`` are ignored; documents without an id
+    Rows of unreadable bodies (null, empty, invalid) are absent; bodies nested too deeply for the JSON reader (some thousand
+    levels) raise a RecursionError rather than being left out; extra columns of ``docs`` are ignored; documents without an id
     count as one document with a null id.
     """
     return latest_documents(docs).mapInPandas(_bridge, BRIDGE)

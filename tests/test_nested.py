@@ -112,3 +112,13 @@ def test_flat_tables_name_their_parents(spark):
 
 def test_empty_table(spark):
     assert N.bridge_rows(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_deep_bodies_are_not_left_out(spark):
+    deep = '{"x": ' * 3000 + "1" + "}" * 3000
+    body = '{"sections": {"bindings": {"bindings": [{"abstract": "A", "concrete": %s}]}, "other": %s}}' % (deep, deep)
+    docs = spark.createDataFrame([(1, body, None)], "document_id bigint, body string, received_at timestamp")
+    assert [(r["document_id"], r["section"]) for r in N.bridge_rows(docs).collect()] == [(1, "bindings")]
+    assert next(N._objects(iter([docs.select("body").toPandas()])))["object_kind"].tolist() == ["binding"]
+    shallow = {"a": [1, True, {"b": None}], "c": [1, 1.0, []]}
+    assert N._deep_identity(shallow) == N.identity(shallow)
