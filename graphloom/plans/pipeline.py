@@ -24,7 +24,7 @@ def p2_watermarks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.bridge_rows(table(spark, d, "reflections")).select("document_id", "section", "parent_pos", "child_pos")
+    return nested.found_rows(table(spark, d, "reflections"))
 
 
 def p4_objects(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", app: str = "graphloom", **conf: str) -> SparkSession:
-    """A session with the settings the engine expects; keyword arguments override them (``__`` stands for a dot)."""
+    """A session with the settings the engine expects; keyword arguments override them (``__`` stands for a dot).
+
+    On a cluster shuffles start with many partitions, which adaptive execution merges; it never splits too few of them.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": "8" if master.startswith("local") else "4000",
+        "spark.checkpoint.compress": "true",
         "spark.ui.enabled": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
@@ -28,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``. Where it is unset (tests), a temporary one is made and set."""
+    """The folder every executor can read: ``spark.checkpoint.dir``. Where it is unset a temporary one is made, in local mode only."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can read")
         known = "file://" + tempfile.mkdtemp(prefix="graphloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
@@ -44,11 +51,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table written to the shared folder: its readers take only the columns and rows they ask for."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Mark ``df`` for broadcast only if it is proven to hold at most ``max_rows`` rows; else leave the choice to the planner."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 200_000) -> DataFrame:
+    """``left`` joined with ``right`` on ``key`` ("inner" or "left"), where a few keys may hold much of ``left``.
+
+    A key with more than ``most`` rows of ``left``, and more than a thousandth of all, is spread over several tasks: its rows
+    of ``left`` by a hash, those of ``right`` repeated. By that bound there are at most 1,000 such keys.
+    """
+    total = left.count()
+    bound = max(most, total // 1000)
+    if total <= bound:
+        return left.join(right, key, how)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound)
+    hot = [(r[key], -(-r["n"] // bound)) for r in counts.collect()]
+    if not hot:
+        return left.join(right, key, how)
+    salts = F.broadcast(left.sparkSession.createDataFrame(hot, f"`{key}` {left.schema[key].dataType.simpleString()}, _salts bigint"))
+    spread = left.join(salts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    copies = right.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 _shipped: set[str] = set()
 
 
