@@ -80,7 +80,7 @@ def test_alternatives_and_consistent_table(spark):
     files = spark.createDataFrame(table, SCHEMA)
     assert {(r["field"], r["tag"], r["alternative_no"]) for r in D.alternatives(files).collect() if r["field"] == "n"} == {("n", "number", 1), ("n", "string", 2)}
     got = {r["file_id"]: r.asDict() for r in D.consistent_table(files, "project_meta").collect()}
-    assert got[1]["n"] == "1" and got[1]["n__number"] == 1.0 and got[1]["n__string"] is None and got[2]["n__string"] == "2"
+    assert got[1]["n"] == "1" and got[1]["n__number"] == 1 and got[1]["n__string"] is None and got[2]["n__string"] == "2"
     assert got[1]["new"] == got[2]["new"] == "v" and "old" not in got[1]
     assert got[1]["a_b"] is True and got[1]["file_id_2"] == "q" and set(got) == {1, 2}
 
@@ -93,3 +93,31 @@ def test_empty_table(spark):
 def test_canonical_names():
     assert D.canonical_names([("a", "b", 3), ("b", "c", 2), ("a", "x", 1)]) == {"a": "c", "b": "c"}
     assert D.canonical_names([("b", "a", 1), ("a", "b", 1)]) == {"b": "a"}
+
+
+def one_kind(spark, *bodies):
+    at = dt.datetime(2025, 1, 1)
+    files = spark.createDataFrame([(i + 1, "project_meta", "p", at + dt.timedelta(days=i), b, "") for i, b in enumerate(bodies)], SCHEMA)
+    return {r["file_id"]: r.asDict() for r in D.consistent_table(files, "project_meta").collect()}
+
+
+def test_old_and_final_name_in_one_file_both_keep_their_value(spark):
+    got = one_kind(spark, '{"a": "v"}', '{"b": "v"}', '{"a": "w"}', '{"b": "w"}', '{"a": 1, "b": 2}', '{"a": 1, "b": 3}')
+    assert [(got[i]["a"], got[i]["b"]) for i in range(1, 7)] == [(None, "v"), (None, "v"), (None, "w"), (None, "w"), (1, "2"), (1, "3")]
+
+
+def test_numbers_stay_exact(spark):
+    big = "123456789012345678901234567890"
+    bodies = [f'{{"id": 9007199254740993, "f": 0.25, "big": {big}, "mix": 9007199254740993, "huge": {"7" * 50}, "long": 0.1234567890123456789}}', '{"id": -5, "f": 3, "big": 1, "mix": 0.5, "huge": 1, "long": 1.5}']
+    got = one_kind(spark, *bodies)
+    assert got[1]["id"] == 9007199254740993 and got[2]["id"] == -5 and int(got[1]["big"]) == int(big)
+    assert got[1]["f"] == 0.25 and got[2]["f"] == 3.0 and isinstance(got[2]["f"], float)
+    assert got[1]["mix"] == "9007199254740993" and got[2]["mix"] == "0.5" and got[1]["huge"] == "7" * 50
+    assert got[1]["long"] == "0.1234567890123456789" and got[2]["long"] == "1.5"
+
+
+def test_alternatives_at_any_depth(spark):
+    at = dt.datetime(2025, 1, 1)
+    table = [(1, "project_meta", "p", at, '{"a": {"b": [1, "x", {"c": true}]}, "e": null}', ""), (2, "project_meta", "p", at, '{"a": {"b": 5}}', "")]
+    got = {(r["field"], r["tag"], r["files"]) for r in D.alternatives(spark.createDataFrame(table, SCHEMA)).collect()}
+    assert got == {("a", "object", 2), ("a.b", "array", 1), ("a.b", "number", 1), ("a.b[]", "number", 1), ("a.b[]", "string", 1), ("a.b[]", "object", 1), ("a.b[].c", "boolean", 1)}
