@@ -1,17 +1,21 @@
 """Processing only new or changed records: a high watermark on the commit sequence with a transactional commit log.
 
-A run fixes an upper bound when it starts, selects what lies above the per-project watermark and not above that bound, writes
-the output and the next watermark into its own folder, and publishes both by creating one manifest file. A manifest is created
-only if it does not exist yet, so two runs cannot publish the same sequence number. Whatever a failed run left behind is never
+A run fixes what it covers when it starts: the list of the source's files that no earlier run has read (or, for a source without
+files, the latest receipt time). What those hold is staged once; selection, output and next watermark are all derived from the
+stage, so nothing that arrives meanwhile can be counted as seen. A record above its project's watermark is new; one at or below
+it is late or a repetition, which the ids decided so far tell apart. Output, decided ids, file list and watermark are published
+together by creating one manifest file, which fails if another run has created it. Whatever a failed run left behind is never
 named by a manifest and therefore never read.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,32 +80,27 @@ def watermarks(runs: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def first_deliveries(changes: DataFrame) -> DataFrame:
-    """One row per change with its first ``received_at`` as ``first_received``.
+    """One row per change with its first ``received_at`` as ``first_received``; ``own`` identifies rows without a change_id by their content.
 
     Repeated deliveries of a change_id are merged by a partial aggregation before any shuffle, so a change delivered millions
-    of times costs no more than one. Rows without a change_id stay apart by their content.
+    of times costs no more than one.
     """
-    own = F.when(F.col("change_id").isNull(), F.struct("project_slug", "commit_sha", "file_path", "content_sha")).alias("own")
+    own = F.when(F.col("change_id").isNull(), F.sha2(F.to_json(F.struct("project_slug", "commit_sha", "file_path", "content_sha")), 256)).alias("own")
     rows = changes.select("change_id", own, "project_slug", "commit_no", as_instant(changes, "received_at").alias("received"))
-    return (
-        rows.groupBy("change_id", "own")
-        .agg(F.min("project_slug").alias("project_slug"), F.max("commit_no").alias("commit_no"), F.min("received").alias("first_received"))
-        .drop("own")
-    )
+    return rows.groupBy("change_id", "own").agg(F.min("project_slug").alias("project_slug"), F.max("commit_no").alias("commit_no"), F.min("received").alias("first_received"))
+
 
+def is_covered() -> F.Column:
+    return F.coalesce(F.expr("commit_no <= wm_commit_no AND first_received <= wm_started"), F.lit(False))
 
-def pending_changes(changes: DataFrame, marks: DataFrame, upper: int | None = None) -> DataFrame:
+
+def pending_changes(changes: DataFrame, marks: DataFrame) -> DataFrame:
     """Changes the watermarks do not cover: (change_id, project_slug, commit_no, first_received).
 
     Covered means commit_no <= wm_commit_no and first_received <= wm_started. A late record below the watermark, a change
-    without commit number or receipt time, and every change of a project without watermark are pending. ``upper``
-    (microseconds), fixed when a run starts, leaves changes first received after it to the next run.
+    without commit number or receipt time, and every change of a project without watermark are pending.
     """
-    rows = first_deliveries(changes)
-    if upper is not None:
-        rows = rows.where(F.col("first_received").isNull() | (F.unix_micros("first_received") <= upper))
-    covered = F.coalesce(F.expr("commit_no <= wm_commit_no AND first_received <= wm_started"), F.lit(False))
-    return rows.join(marks, "project_slug", "left").where(~covered).select("change_id", "project_slug", "commit_no", "first_received")
+    return first_deliveries(changes).join(marks, "project_slug", "left").where(~is_covered()).select("change_id", "project_slug", "commit_no", "first_received")
 
 
 def upper_bound(changes: DataFrame) -> int | None:
@@ -109,90 +108,178 @@ def upper_bound(changes: DataFrame) -> int | None:
     return changes.select(as_instant(changes, "received_at").alias("r")).agg(F.unix_micros(F.max("r")).alias("u")).first()["u"]
 
 
+class FileSource:
+    """A folder of Parquet files that are added and never rewritten; a run reads the files no run before it has read."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | None = None):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _read(self, *paths: str) -> DataFrame:
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        return reader.parquet(*paths)
+
+    def files(self) -> list[str]:
+        return sorted(unquote(f) for f in self._read(self.path).inputFiles())
+
+    def read(self, files: list[str]) -> DataFrame:
+        return self._read(*files) if files else self._read(self.path).limit(0)
+
+
 @dataclass(frozen=True)
 class Commit:
-    """A published run: its number, and the folders of its output, of the watermark after it and of what no watermark can cover."""
+    """A published run: its number, the folders of its output and of the watermark after it, and those of all ids decided and files read so far."""
 
     seq: int
     output: str
     watermark: str
-    untracked: str
+    decided: list[str] = field(default_factory=list)
+    listing: list[str] = field(default_factory=list)
+
+
+#: File systems on which no file can be created under the condition that it does not exist, as far as this log knows.
+WITHOUT_CREATION = ("s3", "s3a", "s3n", "gs", "wasb", "wasbs", "oss", "cosn")
 
 
 class CommitLog:
-    """Manifests ``<root>/_commits/<seq>.json`` on any Hadoop file system; the newest one is the state."""
+    """Manifests ``<root>/_commits/<seq>.json``; the newest one is the state.
+
+    The root must lie on a file system that creates a name only if it is free: a local disk (a hard link) or one of the HDFS
+    kind (a rename that does not overwrite). Object stores are refused.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path, self._conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+        self._scheme = self._fs.getUri().getScheme()
+        if self._scheme in WITHOUT_CREATION:
+            raise ValueError(f"a commit log needs conditional creation, which {self._scheme} does not promise")
 
-    def commits(self) -> list[Commit]:
+    def _names(self) -> list[str]:
         folder = self._path(f"{self.root}/_commits")
         if not self._fs.exists(folder):
             return []
-        names = sorted(s.getPath().toString() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        found = []
-        for name in names:
-            stream = self._fs.open(self._path(name))
-            try:
-                found.append(Commit(**json.loads(bytes(stream.readAllBytes()).decode())))
-            finally:
-                stream.close()
-        return found
+        return sorted(s.getPath().toString() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+
+    def _load(self, name: str) -> Commit:
+        stream = self._fs.open(self._path(name))
+        try:
+            return Commit(**json.loads(bytes(stream.readAllBytes()).decode()))
+        finally:
+            stream.close()
+
+    def commits(self) -> list[Commit]:
+        return [self._load(name) for name in self._names()]
 
     def last(self) -> Commit | None:
-        return max(self.commits(), key=lambda c: c.seq, default=None)
+        """The state; only the newest manifest is read."""
+        names = self._names()
+        return self._load(names[-1]) if names else None
 
     def publish(self, commit: Commit) -> None:
-        """Write the manifest aside, then rename it into place; fails if that number is taken."""
-        target = self._path(f"{self.root}/_commits/{commit.seq:012d}.json")
-        aside = self._path(f"{self.root}/_staging/{uuid.uuid4().hex}.json")
-        self._fs.mkdirs(target.getParent())
-        stream = self._fs.create(aside, False)
+        """Write the manifest aside, then give it its name in one step that fails if the name is taken."""
+        target, aside = f"{self.root}/_commits/{commit.seq:012d}.json", f"{self.root}/_staging/{uuid.uuid4().hex}.json"
+        self._fs.mkdirs(self._path(target).getParent())
+        stream = self._fs.create(self._path(aside), False)
         stream.write(bytearray(json.dumps(commit.__dict__).encode()))
         stream.close()
-        if self._fs.exists(target) or not self._fs.rename(aside, target):
-            self._fs.delete(aside, False)
-            raise RuntimeError(f"commit {commit.seq} was published by another run")
+        try:
+            if self._scheme == "file":
+                os.link(urlparse(aside).path, urlparse(target).path)
+            else:
+                jvm = self.spark.sparkContext._jvm
+                never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._path(aside), self._path(target), never)
+        except Exception as e:
+            if isinstance(e, FileExistsError) or self._fs.exists(self._path(target)):
+                raise RuntimeError(f"commit {commit.seq} was published by another run") from e
+            raise
+        finally:
+            self._fs.delete(self._path(aside), False)
+
+
+#: Folders a state names before they are merged into one.
+COMPACT_AFTER = 16
+
+
+def _state(spark: SparkSession, before: list[str], now: str, merged: str) -> list[str]:
+    """The folders of a growing table after one more of them; many are merged into one."""
+    folders = [*before, now]
+    if len(folders) <= COMPACT_AFTER:
+        return folders
+    spark.read.parquet(*folders).write.parquet(merged)
+    return [merged]
+
+
+def _not_decided(arrived: DataFrame, last: Commit) -> DataFrame:
+    """What of the stage no run has decided about. Only what lies at or below its project's watermark can have been, and only
+    ids decided within the commit numbers of that are read."""
+    spark = arrived.sparkSession
+    tops = spark.read.parquet(last.watermark).select("project_slug", "wm_commit_no")
+    marked = arrived.join(tops, "project_slug", "left")
+    above = F.coalesce(F.col("commit_no") > F.coalesce("wm_commit_no", F.lit(-(1 << 31))), F.lit(False)) & F.col("project_slug").isNotNull()
+    late = marked.where(~above)
+    span = late.agg(F.min("commit_no").alias("lo"), F.max("commit_no").alias("hi"), F.count_if(F.col("commit_no").isNull()).alias("none"), F.count("*").alias("n")).first()
+    if not span["n"]:
+        return marked.drop("wm_commit_no")
+    known = spark.read.parquet(*last.decided)
+    within = F.col("commit_no").between(span["lo"], span["hi"]) if span["lo"] is not None else F.lit(False)
+    known = known.where(within | F.col("commit_no").isNull() if span["none"] else within)
+    known = known.select(F.col("change_id").alias("k_id"), F.col("own").alias("k_own")).distinct()
+    new = late.join(known, F.col("change_id").eqNullSafe(F.col("k_id")) & F.col("own").eqNullSafe(F.col("k_own")), "left_anti")
+    return marked.where(above).unionByName(new).drop("wm_commit_no")
 
 
 def incremental_run(
-    changes: DataFrame,
+    changes: DataFrame | FileSource,
     log: CommitLog,
     seed: Callable[[], DataFrame] | None = None,
     process: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Commit:
-    """One run: watermark in, bounded selection, output and next watermark out, both published at once.
-
-    ``seed`` gives the watermarks when the log is empty (default: none, everything is new). The next watermark of a project is
-    its highest commit number and the run's upper bound; commits that arrive later with a lower number are caught by their
-    receipt time. Changes without project, commit number or receipt time are never covered by a watermark; their ids are kept
-    with the commit, so that they are not repeated either (rows that lack a change_id too are delivered by every run). A crash at
-    any point before ``publish`` leaves the log as it was, so the next run does the same work again.
+    """One run: watermark in, bounded selection, output and next watermark out, all published at once.
+
+    ``seed`` gives the watermarks when the log is empty (default: none, everything is new); what they cover is recorded as
+    decided and never output. Every change is decided once, by its id (rows without an id by their content), whenever it becomes
+    visible and whatever its times say; a change keeps its commit number, or a delivery with another one counts as another
+    change where it lies above the watermark. The next watermark of a project is its highest commit number decided on. A crash
+    at any point before ``publish`` leaves the log as it was, so the next run does the same work again. A DataFrame is read
+    whole, up to the latest receipt time there is at the start; of a FileSource only new files are read.
     """
-    spark = changes.sparkSession
     last = log.last()
-    upper = upper_bound(changes)  # fixed from here on
+    seq = last.seq + 1 if last else 1
+    folder = f"{log.root}/run-{seq:012d}-{uuid.uuid4().hex}"
+    spark = log.spark
+    listing = list(last.listing) if last else []
+    if isinstance(changes, FileSource):
+        files = changes.files()  # fixed from here on
+        if listing:
+            files = sorted(set(files) - {r["file"] for r in spark.read.parquet(*listing).collect()})  # as many as the source has files
+        rows = first_deliveries(changes.read(files))
+        spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.parquet(f"{folder}/listing")
+        listing = _state(spark, listing, f"{folder}/listing", f"{folder}/all-listings")
+    else:
+        upper = upper_bound(changes)  # fixed from here on
+        rows = first_deliveries(changes)
+        if upper is not None:
+            rows = rows.where(F.col("first_received").isNull() | (F.unix_micros("first_received") <= upper))
+    rows.write.parquet(f"{folder}/arrived")
+    arrived = spark.read.parquet(f"{folder}/arrived")
     if last:
-        marks = spark.read.parquet(last.watermark)
+        decided = _not_decided(arrived, last).withColumn("covered", F.lit(False))
     elif seed:
-        marks = seed()
+        decided = arrived.join(seed(), "project_slug", "left").withColumn("covered", is_covered())
     else:
-        marks = spark.createDataFrame([], "project_slug string, run_id bigint, wm_commit_no int, wm_started timestamp")
-    seq = last.seq + 1 if last else 1
-    folder = f"{log.root}/run-{seq:012d}-{uuid.uuid4().hex}"
-    pending = pending_changes(changes, marks, upper)
+        decided = arrived.withColumn("covered", F.lit(False))
+    decided.select("change_id", "own", "project_slug", "commit_no", "first_received", "covered").sortWithinPartitions("commit_no").write.parquet(f"{folder}/decided")
+    decided = spark.read.parquet(f"{folder}/decided")
+    process(decided.where("NOT covered").select("change_id", "project_slug", "commit_no", "first_received")).write.parquet(f"{folder}/output")
+    tops = decided.where("project_slug IS NOT NULL AND commit_no IS NOT NULL").select("project_slug", F.col("commit_no").alias("wm_commit_no"))
     if last:
-        pending = pending.join(spark.read.parquet(*[c.untracked for c in log.commits()]), "change_id", "left_anti")
-    process(pending).write.parquet(f"{folder}/output")
-    loose = first_deliveries(changes).where("project_slug IS NULL OR commit_no IS NULL OR first_received IS NULL")
-    loose.where("change_id IS NOT NULL").select("change_id").write.parquet(f"{folder}/untracked")
-    top = first_deliveries(changes).where("project_slug IS NOT NULL").groupBy("project_slug").agg(F.max("commit_no").alias("wm_commit_no"))
-    mark = F.timestamp_micros(F.lit(upper).cast("bigint")).alias("wm_started")
-    top.select("project_slug", F.lit(seq).cast("bigint").alias("run_id"), "wm_commit_no", mark).write.parquet(f"{folder}/watermark")
-    commit = Commit(seq, f"{folder}/output", f"{folder}/watermark", f"{folder}/untracked")
+        tops = tops.unionByName(spark.read.parquet(last.watermark))
+    tops.groupBy("project_slug").agg(F.max("wm_commit_no").alias("wm_commit_no")).write.parquet(f"{folder}/watermark")
+    ids = _state(spark, last.decided if last else [], f"{folder}/decided", f"{folder}/all-decided")
+    commit = Commit(seq, f"{folder}/output", f"{folder}/watermark", ids, listing)
     log.publish(commit)
     return commit
 

@@ -14,7 +14,8 @@ from graphloom.session import shared_dir, table
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     changes, runs = table(spark, d, "file_changes"), table(spark, d, "project_meta")
     log = incremental.CommitLog(spark, f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}")
-    incremental.incremental_run(changes, log, seed=lambda: incremental.watermarks(runs, changes), process=lambda df: df.select("change_id"))
+    source = incremental.FileSource(spark, f"{d}/file_changes.parquet")
+    incremental.incremental_run(source, log, seed=lambda: incremental.watermarks(runs, changes), process=lambda df: df.select("change_id"))
     return incremental.committed_output(spark, log)
 
 

@@ -36,13 +36,13 @@ class TableStore:
         for name, df in tables.items():
             (df.write.partitionBy("kind") if name in ("nodes", "edges") else df.write).parquet(f"{folder}/{name}")
         schemas = json.dumps({name: df.schema.json() for name, df in tables.items()})  # an empty table's files may not tell
-        self._log.publish(Commit((last.seq if last else 0) + 1, folder if tables else "", "", schemas))
+        self._log.publish(Commit((last.seq if last else 0) + 1, folder if tables else "", "", [schemas]))
 
     def read(self, name: str) -> DataFrame | None:
         last = self._log.last()
         if last is None or last.output == "":
             return None
-        schema = StructType.fromJson(json.loads(json.loads(last.untracked)[name]))
+        schema = StructType.fromJson(json.loads(json.loads(last.decided[0])[name]))
         return self.spark.read.schema(schema).parquet(f"{last.output}/{name}")
 
     def clear(self) -> None:
@@ -83,7 +83,10 @@ class VectorStore(TableStore):
         self.dimensions = dimensions
 
     def upsert(self, rows: DataFrame) -> None:
-        rows = rows.where(F.size("vector") == self.dimensions)
+        """Add or replace by id; a null vector or one of another length raises an error and changes nothing."""
+        wrong = rows.where(F.coalesce(F.size("vector") != self.dimensions, F.lit(True)) | F.col("vector").isNull()).count()
+        if wrong:
+            raise ValueError(f"{wrong} vectors do not have {self.dimensions} dimensions")
         old = self.read("vectors")
         self.replace(vectors=rows.dropDuplicates(["id"]) if old is None else retrieval.upsert(old, rows, ["id"]))
 

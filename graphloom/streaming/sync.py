@@ -22,11 +22,11 @@ def sync_vectors(chunks: DataFrame, store: VectorStore, embed: Callable[[DataFra
 
 
 def sync_changes(spark: SparkSession, path: str, schema: str, log: incremental.CommitLog, checkpoint: str) -> StreamingQuery:
-    """New change files trigger one incremental run over everything known; the commit log, not the stream, decides what is new."""
+    """Each micro-batch of new change files is one incremental run over its own rows; the commit log decides which of them are new."""
     stream = spark.readStream.schema(schema).parquet(path)
 
     def write(batch: DataFrame, _: int) -> None:
         if batch.limit(1).count():
-            incremental.incremental_run(batch.sparkSession.read.schema(schema).parquet(path), log)
+            incremental.incremental_run(batch, log)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

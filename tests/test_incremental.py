@@ -78,7 +78,44 @@ def test_runs_neither_skip_nor_repeat_through_failures(spark, tmp_path):
     assert sorted(seen) == sorted(r[0] for r in arrived) == ids(I.committed_output(spark, log))
     assert [c.seq for c in log.commits()] == [1, 2, 3, 4]
     with pytest.raises(RuntimeError):
-        log.publish(I.Commit(4, "a", "b", "c"))
+        log.publish(I.Commit(4, "a", "b"))
+
+
+def test_late_visible_changes_and_only_new_files(spark, tmp_path):
+    log = I.CommitLog(spark, f"file://{tmp_path}/log")
+    source = I.FileSource(spark, str(tmp_path / "in dir"), CHANGES)
+    (tmp_path / "in dir").mkdir()
+    read = []
+    source.read = lambda files, read_files=source.read: read.append(len(files)) or read_files(files)
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(source.path)
+        return ids(spark.read.parquet(I.incremental_run(source, log, process=lambda df: df.select("change_id")).output))
+
+    nameless = (None, "p", sha("p", 2)[:40], 2, "f", "c", at(2), "x")
+    assert arrive(change(1, n=1, h=1), change(5, n=5, h=5)) == [1, 5]
+    # Commit 3 becomes visible later, stamped in between; 1 and 5 are delivered again, late and early.
+    assert arrive(change(3, n=3, h=3), change(1, n=1, h=9), change(5, n=5, h=0), nameless) == [3, None]
+    assert arrive(change(3, n=3, h=1), nameless, change(6, n=6, h=2), change(7, p="q", n=1, h=1)) == [6, 7]
+    assert ids(spark.read.parquet(I.incremental_run(source, log).output)) == []
+    assert read == [1, 1, 1, 0]
+
+
+def test_states_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "COMPACT_AFTER", 2)
+    log = I.CommitLog(spark, f"file://{tmp_path}/log")
+    for i in range(4):
+        commit = I.incremental_run(spark.createDataFrame([change(j, n=j) for j in range(1, i + 2)], CHANGES), log)
+        assert ids(spark.read.parquet(commit.output)) == [i + 1] and len(commit.decided) <= 2
+    assert log.last().seq == 4 and len(log.commits()) == 4
+
+
+def test_what_a_seed_covers_stays_covered(spark, tmp_path):
+    log = I.CommitLog(spark, f"file://{tmp_path}/log")
+    marks = spark.createDataFrame([("p", 1, 2, at(5))], "project_slug string, run_id bigint, wm_commit_no int, wm_started timestamp")
+    first = I.incremental_run(spark.createDataFrame([change(1, n=1, h=1), change(2, n=3, h=1)], CHANGES), log, seed=lambda: marks)
+    second = I.incremental_run(spark.createDataFrame([change(1, n=1, h=20), change(4, n=1, h=30)], CHANGES), log, seed=lambda: marks)
+    assert [ids(spark.read.parquet(c.output)) for c in (first, second)] == [[2], [4]]
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])

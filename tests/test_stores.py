@@ -29,7 +29,11 @@ def test_vector_store(spark, tmp_path):
     store = S.VectorStore(spark, f"file://{tmp_path}/v", 2)
     one = lambda *rows: spark.createDataFrame([(i, v, "") for i, v in rows], t)
     assert store.search(one(), 3) is None and store.count() == 0
-    store.upsert(one(("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("bad", [1.0])))
+    store.upsert(one(("a", [1.0, 0.0]), ("b", [0.0, 1.0])))
+    for bad in ([1.0], None):
+        with pytest.raises(ValueError, match="1 vectors"):
+            store.upsert(one(("c", [1.0, 0.0]), ("bad", bad)))
+    assert store.count() == 2
     store.upsert(one(("b", [1.0, 1.0]), ("c", [-1.0, 0.0])))
     hits = store.search(spark.createDataFrame([("q", [1.0, 0.0])], "id string, vec array<float>"), 2).orderBy("rank").collect()
     assert [(h["id"], h["score"]) for h in hits] == [("a", 1.0), ("b", 0.707107)]
