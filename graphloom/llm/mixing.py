@@ -59,11 +59,11 @@ def _coin(seed: Column) -> Column:
     return F.pmod(F.xxhash64(seed.cast("int"), F.col("doc_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seeds: int = 32) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", total: float | None = None, seeds: int = 1) -> DataFrame:
     """(doc_id, source, copy_no, n_tokens): the selection, one row per copy.
 
     ``docs`` holds each document's size. Documents without tokens, without a source or of a source without target are not
-    selected; rows with equal ids share one coin; with ``seeds`` = 1 the coins are independent. Other columns are ignored. The rates (at most MAX_TARGETS) travel in the plan.
+    selected; rows with equal ids share one coin. With ``seeds`` above 1 each source keeps the best of so many seeds. Other columns are ignored. The rates (at most MAX_TARGETS) travel in the plan.
     """
     sized = _sized(docs, doc_id, source, size)
     wanted = read_targets(targets)
@@ -75,11 +75,13 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str
     known = spark.createDataFrame([(s, r, caps[s]) for s, r in rates.items()], "source string, rate double, cap int")
     usable = sized.where("n_tokens > 0").join(F.broadcast(known), "source")
     extra = F.col("rate") - F.floor("rate")
-    tried = usable.groupBy("source").agg(*[F.sum(F.when(_coin(F.lit(i)) < extra, F.col("n_tokens")).otherwise(0)).alias(f"s{i}") for i in range(seeds)], F.sum("n_tokens").alias("n"))
-    best = []
-    for r in tried.collect():  # one row per target
-        goal = (rates[r["source"]] % 1) * r["n"]
-        best.append((r["source"], rates[r["source"]], caps[r["source"]], min(range(seeds), key=lambda i: (abs(r[f"s{i}"] - goal), i))))
+    best = [(s, r, caps[s], 0) for s, r in rates.items()]
+    if seeds > 1:
+        sums = [F.sum(F.when(_coin(F.lit(i)) < extra, F.col("n_tokens")).otherwise(0)).alias(f"s{i}") for i in range(seeds)]
+        best = []
+        for r in usable.groupBy("source").agg(*sums, F.sum("n_tokens").alias("n")).collect():  # one row per target
+            goal = (rates[r["source"]] % 1) * r["n"]
+            best.append((r["source"], rates[r["source"]], caps[r["source"]], min(range(seeds), key=lambda i: (abs(r[f"s{i}"] - goal), i))))
     chosen = spark.createDataFrame(best, "source string, rate double, cap int, seed int")
     copies = F.least("cap", F.floor("rate") + F.when(_coin(F.col("seed")) < extra, 1).otherwise(0))
     chosen = sized.where("n_tokens > 0").join(F.broadcast(chosen), "source").withColumn("copies", copies).where("copies > 0")

@@ -8,6 +8,7 @@ exactly goes to best fit. Items then take the slots of their length in order, so
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,89 +18,145 @@ from pyspark.sql import functions as F
 
 
 class Stock:
-    """Counts of lengths still available, with hashed lookups of exact complements."""
+    """Counts of lengths still available, and hashed indexes of the sums of pairs and triples that fill a gap exactly.
+
+    Both indexes are arrays by sum and built once. ``pair_first`` holds the longer length of a pair, ``third`` the shortest length
+    that leaves a pair's sum. Counts only fall, so an entry that no longer holds is replaced by the next one there is, and a
+    sum that has none left never has one again.
+    """
 
     def __init__(self, capacity: int, counts: dict[int, int]):
         self.capacity, self.left = capacity, np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
-        self.pairs: dict[int, tuple[int, int]] = {}  # sum -> a pair of lengths that had it when last looked up
+        self.lengths, self.exhausted = np.flatnonzero(self.left), 0
+        self.pair_first, self.third = np.zeros(capacity + 1, np.int32), np.zeros(capacity + 1, np.int32)
+        for i, longer in enumerate(self.lengths):  # later ones, longer still, take precedence
+            shorter = self.lengths[: i + 1] if self.left[longer] > 1 else self.lengths[:i]
+            sums = shorter[: np.searchsorted(shorter, capacity - longer, side="right")] + longer
+            self.pair_first[sums] = longer
+        open_sums = np.arange(3, capacity + 1)
+        for c in self.lengths:  # short lengths are the plentiful ones
+            if not len(open_sums):
+                break
+            rest = open_sums - c
+            hit = (rest > 0) & (self.pair_first[np.maximum(rest, 0)] > 0)
+            self.third[open_sums[hit]] = c
+            open_sums = open_sums[~hit]
+
+    def available(self) -> np.ndarray:
+        """The lengths there may still be; exhausted ones are dropped from time to time."""
+        if self.exhausted > len(self.lengths) // 16:
+            self.lengths, self.exhausted = self.lengths[self.left[self.lengths] > 0], 0
+        return self.lengths
 
     def fits(self, lengths: tuple[int, ...]) -> bool:
-        return all(self.left[x] >= lengths.count(x) for x in set(lengths))
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
 
     def take(self, lengths: tuple[int, ...], times: int) -> None:
         for x in lengths:
             self.left[x] -= times
+        self.exhausted += sum(self.left[x] == 0 for x in set(lengths))
 
     def times(self, lengths: tuple[int, ...]) -> int:
         return int(min(self.left[x] // lengths.count(x) for x in set(lengths)))
 
     def pair(self, total: int) -> tuple[int, int] | None:
         """The pair of available lengths with this sum, its longer one as long as possible."""
-        known = self.pairs.get(total)
-        if known == ():
-            return None  # counts only fall, so a sum that nothing has stays so
-        if known and self.fits(known):
-            return known
-        a = np.arange((total + 1) // 2, min(total, self.capacity + 1))[::-1]
-        b = total - a
-        ok = (self.left[a] > 0) & (self.left[b] > 0) & ((a != b) | (self.left[a] > 1))
-        hit = np.flatnonzero(ok)
-        self.pairs[total] = (int(a[hit[0]]), int(b[hit[0]])) if len(hit) else ()
-        return self.pairs[total] or None
+        a = int(self.pair_first[total])
+        if a == 0 or self.fits((a, total - a)):
+            return (a, total - a) if a else None
+        first = self.available()
+        first = first[np.searchsorted(first, (total + 1) // 2) : np.searchsorted(first, total)]
+        first = first[(self.left[first] > 0) & (self.left[total - first] > 0)]
+        if len(first) and first[0] * 2 == total and self.left[first[0]] < 2:
+            first = first[1:]
+        self.pair_first[total] = first[-1] if len(first) else 0
+        return (int(first[-1]), int(total - first[-1])) if len(first) else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three available lengths with this sum."""
+        c = int(self.third[total])
+        if c == 0:
+            return None
+        if self.left[c] > 0 and (p := self.pair(total - c)) and self.fits((c, *p)):
+            return (c, *p)
+        some = self.available()
+        some = some[: np.searchsorted(some, total)]
+        some = some[(self.left[some] > 0) & (self.pair_first[total - some] > 0)]
+        stands = False
+        for c in some.tolist():
+            if p := self.pair(total - c):
+                if self.fits((c, *p)):
+                    self.third[total] = c
+                    return (c, *p)
+                stands = True  # only the counts of equal lengths stood in the way
+        if not stands:
+            self.third[total] = 0
+        return None
 
     def complement(self, length: int) -> tuple[int, ...] | None:
-        """One, two or three further lengths that fill the rest of a container exactly."""
+        """One, two or three further lengths that fill the rest of a container exactly.
+
+        The item itself is taken out meanwhile. What the indexes then lose can only be combinations that hold it, and if none
+        of those fills a container now none ever will.
+        """
         gap = self.capacity - length
-        own = (length,)
         if gap == 0:
             return ()
-        if self.left[gap] > 0 and self.fits(own + (gap,)):
-            return (gap,)
-        if (p := self.pair(gap)) and self.fits(own + p):
-            return p
-        for third in np.flatnonzero(self.left[1:gap] > 0)[::-1] + 1:
-            third = int(third)
-            if gap - third >= 2 and (p := self.pair(gap - third)) and self.fits((*own, third, *p)):
-                return (third, *p)
-        return None
+        self.left[length] -= 1
+        found = (gap,) if self.left[gap] > 0 else self.pair(gap) or self.triple(gap)
+        self.left[length] += 1
+        return found
 
 
-def plan(capacity: int, counts: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one container, number of containers) that hold every item of the histogram exactly once.
+def patterns(capacity: int, counts: dict[int, int]) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """(lengths of one container with how many of each, number of containers) that hold every item of the histogram exactly once.
 
     Every step uses up at least one length or all of a combination, so there are a few steps per distinct length.
     """
     stock, out = Stock(capacity, counts), []
-    for length in range(capacity, 0, -1):
+    for length in stock.lengths[::-1].tolist():
         while stock.left[length] > 0 and (rest := stock.complement(length)) is not None:
             lengths = (length, *rest)
             n = stock.times(lengths)
             stock.take(lengths, n)
-            out.append((lengths, n))
-    for length in range(capacity, 0, -1):  # best fit of the residuals, all equal containers at once
-        while stock.left[length] > 0:
-            stock.left[length] -= 1
-            lengths, gap = [length], capacity - length
-            while gap > 0 and len(fit := np.flatnonzero(stock.left[1 : gap + 1] > 0)):
-                best = int(fit[-1]) + 1
-                lengths.append(best)
-                stock.left[best] -= 1
-                gap -= best
-            n = 1 + int(min(stock.left[x] // lengths.count(x) for x in set(lengths)))
-            stock.take(tuple(lengths), n - 1)
-            out.append((tuple(lengths), n))
+            out.append((tuple((x, lengths.count(x)) for x in sorted(set(lengths))), n))
+    some = np.flatnonzero(stock.left).tolist()  # best fit of the residuals, all equal containers at once
+    left = {x: int(stock.left[x]) for x in some}
+    while some:
+        held: dict[int, int] = {}
+        gap = capacity
+        while gap > 0 and (i := bisect_right(some, gap)):
+            best = some[i - 1]
+            k = min(left[best], gap // best) if held else 1
+            held[best] = held.get(best, 0) + k
+            left[best] -= k
+            gap -= k * best
+            if not left[best]:
+                del some[i - 1]
+        n = 1 + min(left[x] // k for x, k in held.items())
+        for x, k in held.items():
+            if n > 1:
+                left[x] -= k * (n - 1)
+                if not left[x]:
+                    del some[bisect_right(some, x) - 1]
+        out.append((tuple(sorted(held.items())), n))
     return out
 
 
+def plan(capacity: int, counts: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
+    """The same with every length written out."""
+    return [(tuple(x for x, k in held for _ in range(k)), n) for held, n in patterns(capacity, counts)]
+
+
 def _plan_budget(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """The slots of one budget: which ranks of a length go to which containers, how many to each."""
     rank: dict[int, int] = {}
     container, rows = 0, []
-    for number, (lengths, n) in enumerate(plan(int(frame["capacity"].iloc[0]), dict(zip(frame["length"].tolist(), frame["n"].tolist())))):
-        for x in sorted(set(lengths)):
-            k, first = lengths.count(x), rank.get(x, 0)
+    for number, (held, n) in enumerate(patterns(int(frame["capacity"].iloc[0]), dict(zip(frame["length"].tolist(), frame["n"].tolist())))):
+        for x, k in held:
+            first = rank.get(x, 0)
             rank[x] = first + k * n
             rows.append((key[0], x, first, k, container, number))
         container += n

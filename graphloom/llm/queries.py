@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import mixing, neighbours, packing, splitting, tokens, truncation
-from graphloom.session import materialize, table
+from graphloom.session import shared_dir, table, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,10 +25,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+_sizes: dict[tuple, DataFrame] = {}
+
+
 def document_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, source, n_tokens), computed once: encoding is by far the dearest step."""
+    """(doc_id, source, n_tokens) as a stored table: encoding is by far the dearest step, so a session encodes a table once.
+
+    A table whose files or times of change differ is encoded again.
+    """
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return materialize(tokens.with_tokens(docs, "text").select("doc_id", "source", "n_tokens"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, shared_dir(spark), changed, *docs.inputFiles())
+    if key not in _sizes:
+        _sizes[key] = written(tokens.with_tokens(docs, "text").select("doc_id", "source", "n_tokens"))
+    return _sizes[key]
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +59,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(docs, targets, mixing.mix(docs, targets))
 
 
+def p7_shares_searched(spark: SparkSession, d: str) -> DataFrame:
+    """The shares if each source keeps the best of 32 seeds."""
+    docs, targets = document_sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.share_report(docs, targets, mixing.mix(docs, targets, seeds=32))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).where("truncated").select("doc_id")
 
@@ -56,7 +73,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_pieces, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_pieces, p6_pack, p6_fill, p7_mix, p7_shares, p7_shares_searched, p8_found, p8_rates)}
 
 _LATEST_CHUNKS = """
 latest AS (

@@ -37,6 +37,39 @@ def test_exact_combinations_leave_nothing_unused():
     assert sum(n for _, n in plan) == sum(k * v for k, v in counts.items()) // 10
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_triples_match_brute_force(seed):
+    rng = random.Random(seed)
+    counts = {x: rng.randint(1, 2) for x in rng.sample(range(1, 60), 12)}
+    items = [x for x, n in counts.items() for _ in range(n)]
+    sums = {items[i] + items[j] + items[k] for i in range(len(items)) for j in range(i) for k in range(j)}
+    stock = P.Stock(200, counts)
+    for total in range(3, 180):
+        found = stock.triple(total)
+        assert (found is not None) == (total in sums)
+        assert found is None or (sum(found) == total and stock.fits(found))
+
+
+def test_plan_of_a_large_capacity_is_quick_and_tight():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lengths = np.clip(rng.lognormal(6.5, 1.6, 200_000).astype(int), 1, 131_072)
+    kinds, n = np.unique(lengths, return_counts=True)
+    began = time.perf_counter()
+    plan = P.patterns(131_072, dict(zip(kinds.tolist(), n.tolist())))
+    assert time.perf_counter() - began < 10
+    used = Counter()
+    for held, times in plan:
+        assert sum(x * k for x, k in held) <= 131_072
+        for x, k in held:
+            used[x] += k * times
+    assert used == dict(zip(kinds.tolist(), n.tolist()))
+    assert sum(times for _, times in plan) <= -(-int(lengths.sum()) // 131_072) + 1
+
+
 def test_packing_a_table(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([1, 3, 30, 30, 30, 77, 100, 101, 512, None, 0]), "clash", 1) for i in range(600)] + [(5, 30, "", 0), (5, 30, "", 0), (None, 10, "", 0), (9999, 5000, None, None)]

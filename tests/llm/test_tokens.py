@@ -25,4 +25,17 @@ def test_stretches_keep_the_count(monkeypatch):
     monkeypatch.setattr(T, "STRETCH", 97)
     assert "".join(T.stretches(text)) == text and len(T.stretches(text)) > 50
     assert T.count_tokens([text], PATH) == whole
-    assert "".join(T.stretches("x" * 1000)) == "x" * 1000
+    assert T.stretches("x" * 1000) == ["x" * 1000]
+
+
+@pytest.mark.parametrize("text", ["1 " * 300, "a\n\n  b\t\tc " * 60, "'s 'll it's\u00a0x \u2003y\x1c z\x85 " * 40, "汉字 漢字\n" * 80, " " * 500 + "x", "x" * 300 + "  \n" * 90])
+@pytest.mark.parametrize("stretch", [1, 7, 50])
+def test_counts_do_not_depend_on_stretches(monkeypatch, text, stretch):
+    whole = len(T.load(PATH).encode(text, add_special_tokens=False))
+    monkeypatch.setattr(T, "STRETCH", stretch)
+    assert "".join(T.stretches(text)) == text
+    assert T.count_tokens([text], PATH) == [whole]
+
+
+def test_long_texts():
+    assert T.count_tokens(["1 " * 250_000], PATH) == [250_001]
