@@ -1,10 +1,13 @@
 """The most similar vectors of every vector, by learned partitions.
 
 On a bounded, hash-selected sample of each collection the exact neighbour graph is built and partitioned into balanced parts;
-a small classifier then learns to predict a vector's part. Every vector is stored in its most probable part and, as a query,
-sent to several of the most probable ones, where it is compared exactly. Collections too large for one set of parts are
-partitioned again, part by part. Exact copies are searched once: a group of equal vectors is represented by its least id and
-expanded afterwards, to no more members than can be among the answers.
+a small classifier then learns to predict a vector's part. Every vector is stored in its most probable part and sent, as a
+query, to a few more of the most probable ones, where it is compared with all that is stored there. Both sides of a comparison
+take its result as an answer, so two vectors miss each other only if neither looks where the other is stored. Collections too
+large for one set of parts are partitioned again, part by part; a vector divides its probes among the parts it goes to, so
+deeper levels send no more copies. Vectors travel and are compared as 16-bit whole numbers with a scale of their own, which moves a
+similarity by about 0.00001. Exact copies are searched once: a group of equal vectors is represented by its least
+id and expanded afterwards, to no more members than can be among the answers.
 """
 
 from __future__ import annotations
@@ -19,24 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import materialize
+from graphloom.session import broadcast_if_small, materialize, written
 
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds and sizes. ``sample`` is the expected number of rows per cell, selected by a hash of the id, that a classifier is fitted on (more parts take more, 64 each)."""
+    """Bounds and sizes. ``sample`` is the expected number of rows per cell, selected by a hash of the id, that a
+    classifier is fitted on (more parts take more, 64 each); ``broadcast_bytes`` the size up to which classifiers go to every worker."""
 
     k: int = 5
     rows_per_part: int = 2_000
     max_parts: int = 256
     sample: int = 8_000
     graph_degree: int = 10
-    probes: int = 8
-    least_probes: int = 3
-    sure: float = 0.995
+    probes: int = 5
+    least_probes: int = 2
+    sure: float = 0.99
     epochs: int = 120
     block: int = 8_192
-    max_cells: int = 20_000
+    broadcast_bytes: int = 64 << 20
 
 
 # --- fitting, on the sample of one cell -------------------------------------------------------------------------------
@@ -120,26 +124,33 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """A vector as a scale and 16-bit whole numbers."""
+    scale = np.abs(vector).max() / 32767
+    return np.float32(scale).tobytes() + np.rint(vector / scale).astype(np.int16).tobytes()
+
+
 def to_matrix(column: pd.Series) -> np.ndarray:
-    """Vectors stored as float32 bytes, all of one length, as rows."""
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+    """Packed vectors, all of one length, as rows."""
+    raw = np.frombuffer(b"".join(column), np.int16).reshape(len(column), -1)
+    return raw[:, 2:].astype(np.float32) * np.ascontiguousarray(raw[:, :2]).view(np.float32)
 
 
-def probes_of(prob: np.ndarray, most: int, least: int, sure: float) -> list[np.ndarray]:
-    """The parts to look in: the most probable ones until ``sure`` is reached."""
-    most = min(most, prob.shape[1])
-    order = np.argsort(-prob, axis=1, kind="stable")[:, :most]
+def probes_of(prob: np.ndarray, most: np.ndarray | int, least: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """(parts by falling probability, how many of them to look in): the most probable ones until ``sure`` is reached."""
+    most = np.minimum(np.broadcast_to(most, len(prob)), prob.shape[1])
+    width = int(most.max(initial=1))
+    order = np.argsort(-prob, axis=1, kind="stable")[:, :width]
     mass = np.cumsum(np.take_along_axis(prob, order, 1), axis=1)
-    count = np.clip((mass < sure).sum(1) + 1, min(least, most), most)
-    return [order[i, :c] for i, c in enumerate(count)]
+    return order, np.clip((mass < sure).sum(1) + 1, np.minimum(least, most), most)
 
 
-MODEL = "cell string, dim int, parts int, weights binary, bias binary, index_share binary, query_share binary"
+MODEL = "cell string, n bigint, dim int, parts int, weights binary, bias binary, index_share binary, query_share binary"
 
 
-def _fitter(parts: dict[str, int], p: Params):
+def _fitter(p: Params):
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x, m = to_matrix(frame["vec"]), parts[key[0]]
+        x, m = to_matrix(frame["vec"]), int(frame["parts"].iloc[0])
         m = max(1, min(m, len(x) // 8))
         if m > 1:
             graph = neighbour_graph(x, p.graph_degree)
@@ -152,77 +163,133 @@ def _fitter(parts: dict[str, int], p: Params):
         else:
             w, b = np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32)
         prob = softmax(x @ w + b)
-        stored = np.bincount(prob.argmax(1), minlength=m) / len(x)
-        asked = np.bincount(np.concatenate(probes_of(prob, p.probes, p.least_probes, p.sure)), minlength=m) / len(x)
-        row = (key[0], x.shape[1], m, w.tobytes(), b.tobytes(), stored.astype(np.float32).tobytes(), asked.astype(np.float32).tobytes())
-        return pd.DataFrame([row], columns=["cell", "dim", "parts", "weights", "bias", "index_share", "query_share"])
+        order, count = probes_of(prob, p.probes, p.least_probes, p.sure)
+        stored = np.bincount(order[:, 0], minlength=m) / len(x)
+        asked = np.bincount(order[np.arange(order.shape[1]) < count[:, None]], minlength=m) / len(x)
+        row = (key[0], int(frame["n"].iloc[0]), x.shape[1], m, w.tobytes(), b.tobytes(), stored.astype(np.float32).tobytes(), asked.astype(np.float32).tobytes())
+        return pd.DataFrame([row], columns=["cell", "n", "dim", "parts", "weights", "bias", "index_share", "query_share"])
 
     return fit
 
 
 # --- routing and search -----------------------------------------------------------------------------------------------
 
-ROUTED = "cell string, is_query boolean, id string, vec binary, block int, other_blocks int"
+#: ``member`` rows are stored in a cell and ask there, others only ask; ``probes`` is how many parts of it they may ask.
+ROWS = "cell string, member boolean, probes int, h bigint, id string, vec binary"
+ROUTED = ROWS + ", qb int, ib int, nq int, ni int"
+
+
+def _route(g: pd.DataFrame, m: dict, p: Params) -> pd.DataFrame:
+    """Rows of one cell with the parts they go to."""
+    w = np.frombuffer(m["weights"], np.float32).reshape(m["dim"], m["parts"])
+    prob = softmax(to_matrix(g["vec"]) @ w + np.frombuffer(m["bias"], np.float32))
+    # Blocks of about p.block rows on either side; every pair of blocks of a part is one task's work.
+    blocks = {side: np.maximum(1, np.ceil(np.frombuffer(m[f"{side}_share"], np.float32) * m["n"] / p.block)).astype(np.int64) for side in ("index", "query")}
+    budget = g["probes"].to_numpy()
+    order, count = probes_of(prob, budget, p.least_probes, p.sure)
+    taken = np.arange(order.shape[1]) < count[:, None]
+    mass = np.where(taken, np.take_along_axis(prob, order, 1), 0)
+    share = 1 + np.floor((budget - count)[:, None] * mass / np.maximum(mass.sum(1, keepdims=True), 1e-9)).astype(np.int64)
+    share[:, 0] += budget - np.where(taken, share, 0).sum(1)  # what is left of the probes
+    row, place = np.nonzero(taken)
+    part, h = order[row, place], g["h"].to_numpy()[row]
+    out = g.iloc[row].reset_index(drop=True)
+    out["cell"] = m["cell"] + "/" + pd.Series(part).astype(str)
+    out["member"] = out["member"].to_numpy() & (place == 0)
+    out["probes"] = share[row, place]
+    for name, side in (("q", "query"), ("i", "index")):
+        out[f"n{name}"] = blocks[side][part]
+        out[f"{name}b"] = h % blocks[side][part]
+    return out[["cell", "member", "probes", "h", "id", "vec", "qb", "ib", "nq", "ni"]]
+
+
+def route(rows: DataFrame, models: DataFrame, p: Params) -> DataFrame:
+    """Every row in the parts of its cell that its cell's classifier sends it to.
+
+    Classifiers go to all workers if they are proven to be small. Beyond that they are joined to blocks of their cell's rows.
+    """
+    size = models.agg(F.sum(F.octet_length("weights") + F.lit(4096))).first()[0] or 0
+    if size <= p.broadcast_bytes:
+        known = rows.sparkSession.sparkContext.broadcast({r["cell"]: r.asDict() for r in models.collect()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for cell, g in batch.groupby("cell"):
+                    yield _route(g, known.value[cell], p)
+
+        return rows.mapInPandas(run, ROUTED)
+    blocks = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("n") / F.lit(5 * p.block)))
+    asked = rows.join(broadcast_if_small(models.select("cell", blocks.alias("blocks"))), "cell").withColumn("b", F.pmod("h", "blocks")).drop("blocks")
+    spread = models.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
 
+    def route_block(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        return _route(g, m.iloc[0].to_dict(), p) if len(g) else pd.DataFrame(columns=[c.split()[0] for c in ROUTED.split(", ")])
 
-def _router(models, sizes: dict[str, int], p: Params):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for cell, g in batch.groupby("cell"):
-                m = models.value[cell]
-                w = np.frombuffer(m["weights"], np.float32).reshape(m["dim"], m["parts"])
-                prob = softmax(to_matrix(g["vec"]) @ w + np.frombuffer(m["bias"], np.float32))
-                stored, asked = np.frombuffer(m["index_share"], np.float32), np.frombuffer(m["query_share"], np.float32)
-                # Blocks of about p.block rows on either side; every pair of blocks of a part is one task's work.
-                blocks_i = np.maximum(1, np.ceil(stored * sizes[cell] / p.block)).astype(int)
-                blocks_q = np.maximum(1, np.ceil(asked * sizes[cell] / p.block)).astype(int)
-                own = np.array([hash_of(i) for i in g["id"]])
-                best, ask = prob.argmax(1), probes_of(prob, p.probes, p.least_probes, p.sure)
-                isq, ids, vecs = g["is_query"].to_numpy(), g["id"].to_numpy(), g["vec"].to_numpy()
-                out = []
-                for i in range(len(g)):
-                    if not isq[i]:
-                        out.append((f"{cell}/{best[i]}", False, ids[i], vecs[i], int(own[i] % blocks_i[best[i]]), int(blocks_q[best[i]])))
-                    else:
-                        out += [(f"{cell}/{part}", True, ids[i], vecs[i], int(own[i] % blocks_q[part]), int(blocks_i[part])) for part in ask[i]]
-                yield pd.DataFrame(out, columns=["cell", "is_query", "id", "vec", "block", "other_blocks"])
+    return asked.groupBy("cell", "b").cogroup(spread.groupBy("cell", "b")).applyInPandas(route_block, ROUTED)
 
-    return run
 
+def best_of(s: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest values of each row, equal ones by column; values below ``least`` are left out."""
+    if least is None:
+        k = min(k, s.shape[1])
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(s, top, 1).min(1, keepdims=True)
+        for i in np.flatnonzero((s >= last).sum(1) > k):  # equal values compete for the last place
+            top[i] = np.argsort(-s[i], kind="stable")[:k]
+        return np.repeat(np.arange(len(s)), k), top.ravel()
+    row, column = np.nonzero(s >= least)
+    if len(row) and np.bincount(row).max() > k:
+        by = np.lexsort((column, -s[row, column], row))
+        row, column = row[by], column[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, column = row[keep], column[keep]
+    return row, column
 
-def hash_of(text: str) -> int:
-    import zlib
 
-    return zlib.crc32(text.encode())
+FOUND = "grp string, q string, c string, sim double"
 
 
 def _searcher(k: int, least: float | None):
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": pd.Series([], dtype=str), "c": pd.Series([], dtype=str), "sim": pd.Series([], dtype="float64")})
-        isq = frame["is_query"].to_numpy()
-        queries, index = frame[isq], frame[~isq].sort_values("id")
-        if not len(queries) or not len(index):
-            return empty
-        x, y = to_matrix(queries["vec"]), to_matrix(index["vec"])
-        qid, cid = queries["id"].to_numpy(), index["id"].to_numpy()
-        place = {c: j for j, c in enumerate(cid)}
-        own = np.array([place.get(q, -1) for q in qid])
-        take = min(k, len(cid))
-        found = []
-        for lo in range(0, len(x), 512):
-            s = x[lo : lo + 512] @ y.T
-            mine = own[lo : lo + 512]
-            s[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -2.0
-            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            sim = np.take_along_axis(s, top, 1)
-            keep = sim > -1.5 if least is None else sim >= least
-            row, col = np.nonzero(keep)
-            found.append(pd.DataFrame({"q": qid[lo + row], "c": cid[top[row, col]], "sim": sim[row, col].astype(np.float64)}))
-        return pd.concat(found) if found else empty
+        frame = frame.sort_values("id", kind="stable")
+        asks, held = frame["asks"].to_numpy(), frame["held"].to_numpy()
+        ids, own = frame["id"].to_numpy(), frame["member"].to_numpy()
+        q, c = np.flatnonzero(asks), np.flatnonzero(held)
+        found: list[tuple] = []
+        if len(q) and len(c):
+            x = to_matrix(frame["vec"])
+            y = x[c]
+            place = np.full(len(frame), -1)
+            place[c] = np.arange(len(c))
+            for lo in range(0, len(q), 512):
+                mine = q[lo : lo + 512]
+                s = x[mine] @ y.T
+                same = np.flatnonzero(place[mine] >= 0)
+                s[same, place[mine[same]]] = -3.0
+                row, column = best_of(s, k, least)
+                found.append((mine[row], c[column], s[row, column]))
+                guests = np.flatnonzero(~own[mine])  # those stored here ask here themselves
+                if len(guests):
+                    row, column = best_of(s[guests].T, k, least)
+                    found.append((c[row], mine[guests[column]], s[guests[column], row]))
+        if not found:
+            return pd.DataFrame({"grp": pd.Series([], dtype=str), "q": pd.Series([], dtype=str), "c": pd.Series([], dtype=str), "sim": pd.Series([], dtype="float64")})
+        asker, answer, sim = (np.concatenate([f[i] for f in found]) for i in range(3))
+        by = np.lexsort((answer, -sim, asker))
+        asker, answer, sim = asker[by], answer[by], sim[by]
+        keep = (np.arange(len(asker)) - np.searchsorted(asker, asker) < k) & (sim > -2.5)
+        return pd.DataFrame({"grp": key[0].split("/", 1)[0], "q": ids[asker[keep]], "c": ids[answer[keep]], "sim": sim[keep].astype(np.float64)})
 
     return search
 
 
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the vector packed."""
+    for batch in batches:
+        i = batch.schema.get_field_index("vec")
+        yield batch.set_column(i, "vec", pa.array([packed(np.frombuffer(v, np.float32)) for v in batch.column(i).to_pylist()], pa.binary()))
+
+
 def _normaliser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (grp, id, vector) with the vector as the bytes of a float32 unit vector."""
     for batch in batches:
@@ -271,43 +338,35 @@ def copy_classes(units: DataFrame, keep: int) -> DataFrame:
 
 def partition_search(reps: DataFrame, p: Params, min_similarity: float | None = None) -> DataFrame:
     """(grp, q, c, sim): for each row of (grp, id, vec) up to k most similar others of its group."""
-    spark = reps.sparkSession
-    rows = reps.select(F.col("grp").alias("cell"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_query"), "id", "vec")
-    level = 0
+    start = reps.select(F.col("grp").alias("cell"), F.lit(True).alias("member"), F.lit(p.probes).alias("probes"), F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"), "id", "vec")
+    rows = start.mapInArrow(_packer, ROWS)
+    level, before = 0, None
     while True:
-        stored = rows.where("NOT is_query")
-        sizes = {r["cell"]: r["n"] for r in stored.groupBy("cell").agg(F.count("*").alias("n")).limit(p.max_cells + 1).collect()}
-        if len(sizes) > p.max_cells:
-            raise ValueError(f"more than {p.max_cells} cells")
-        largest = max(sizes.values(), default=0)
-        parts = {c: min(p.max_parts, math.ceil(n / p.rows_per_part)) for c, n in sizes.items()}
-        share = {c: min(1.0, max(p.sample, 64 * parts[c]) / n) for c, n in sizes.items()}
-        bound = spark.createDataFrame([(c, int(s * (1 << 31))) for c, s in share.items()], "cell string, bound bigint")
-        sample = stored.join(F.broadcast(bound), "cell").where(F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 31)) <= F.col("bound"))
-        fitted = sample.select("cell", "vec").groupBy("cell").applyInPandas(_fitter(parts, p), MODEL).collect()  # a few hundred kB per cell
-        models = spark.sparkContext.broadcast({r["cell"]: r.asDict() for r in fitted})
-        routed = rows.mapInPandas(_router(models, sizes, p), ROUTED)
-        level += 1
-        if largest <= 2 * p.max_parts * p.rows_per_part or level >= 3:
+        stored = rows.where("member")
+        parts = F.least(F.lit(p.max_parts).cast("bigint"), F.ceil(F.col("n") / F.lit(p.rows_per_part)))
+        sizes = stored.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", parts)
+        sizes = written(sizes.withColumn("bound", F.least(F.lit(1.0), F.greatest(F.lit(p.sample), 64 * F.col("parts")) / F.col("n")) * (1 << 31)))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
+        chosen = F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 31)) <= F.col("bound")
+        sample = stored.select("cell", "id", "vec").join(broadcast_if_small(sizes), "cell").where(chosen)
+        models = written(sample.select("cell", "vec", "n", "parts").groupBy("cell").applyInPandas(_fitter(p), MODEL))
+        routed = route(rows, models, p)
+        # Beyond this the parts are partitioned again, unless that has ceased to make them smaller; their blocks are compared then.
+        if largest <= 2 * p.max_parts * p.rows_per_part or (before is not None and largest > before / 2):
             break
-        rows = materialize(routed.select("cell", "is_query", "id", "vec"))
-    spread = routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).select(
-        "cell", F.when(F.col("is_query"), F.col("block")).otherwise(F.col("other")).alias("qb"), F.when(F.col("is_query"), F.col("other")).otherwise(F.col("block")).alias("ib"), "is_query", "id", "vec"
-    )
-    found = spread.groupBy("cell", "qb", "ib").applyInPandas(_with_cell(_searcher(p.k, min_similarity)), "grp string, q string, c string, sim double")
+        rows, level, before = written(routed.select(*(c.split()[0] for c in ROWS.split(", ")))), level + 1, largest
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda qb, ib, asks, held: F.struct(qb.alias("qb"), ib.alias("ib"), asks.alias("asks"), held.alias("held"))
+    asking = F.transform(every("ni"), lambda i: pair(F.col("qb"), i, F.lit(True), F.col("member") & (i == F.col("ib"))))
+    held = F.transform(F.filter(every("nq"), lambda i: F.col("member") & (i != F.col("qb"))), lambda i: pair(i, F.col("ib"), F.lit(False), F.lit(True)))
+    spread = routed.select("cell", "member", "id", "vec", F.explode(F.concat(asking, held)).alias("b")).select("cell", "member", "id", "vec", "b.*")
+    found = spread.groupBy("cell", "qb", "ib").applyInPandas(_searcher(p.k, min_similarity), FOUND)
+    # One exchange by asker serves both the removal of what was found from either side and the choice of the best.
+    found = found.repartition("grp", "q").groupBy("grp", "q", "c").agg(F.max("sim").alias("sim"))
     best = Window.partitionBy("grp", "q").orderBy(F.col("sim").desc(), "c")
     return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= p.k).drop("_n")
 
 
-def _with_cell(search):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = search(key, frame)
-        found.insert(0, "grp", key[0].split("/", 1)[0])
-        return found
-
-    return run
-
-
 def most_similar(vectors: DataFrame, configs: DataFrame, min_similarity: float | None = None, params: Params = Params()) -> DataFrame:
     """(embedder_id, id, other, similarity): up to k most similar vectors of the same embedder for every usable vector.
 
@@ -316,11 +375,11 @@ def most_similar(vectors: DataFrame, configs: DataFrame, min_similarity: float |
     comes out; empty tables give an empty result.
     """
     k = params.k
-    units = materialize(usable_vectors(vectors, configs).withColumn("grp", F.hex("grp")))
+    units = written(usable_vectors(vectors, configs).withColumn("grp", F.hex("grp")))
     classes = copy_classes(units, k + 1)
     classes = materialize(classes)
     if classes.where(F.size("members") > 1).limit(1).count():
-        reps = materialize(units.join(classes.select("grp", F.col("rep").alias("id")), ["grp", "id"], "left_semi"))
+        reps = written(units.join(classes.select("grp", F.col("rep").alias("id")), ["grp", "id"], "left_semi"))
     else:
         reps = units
     near = partition_search(reps, params, min_similarity)
