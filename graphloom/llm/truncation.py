@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import materialize
+from graphloom.session import broadcast_if_small, materialize, written
 
 #: Keys a task holds before it adds up their counts and sends them on.
 HELD = 1 << 20
@@ -37,8 +37,10 @@ ELLIPSIS = re.compile(r"\s*(?:…|\.{3,})$")
 
 TOKEN = re.compile(
     r"(?P<nl>\n)|(?P<path>/[\w{}](?:[\w{}/.-]*[\w{}/])?)|(?P<hex>\b[0-9a-f]{16,}\b)|(?P<version>\bv\d+(?:\.\d+)*)|(?P<name>[A-Z]\w*(?:\\\w+)+\\?)"
-    r"|(?P<key>\b[a-z_]+(?:\.[a-z_]+)+)|(?P<number>\d+)|(?P<var>\$\w*)|(?P<word>[^\W\d_][\w]*)|(?P<mark>[^\s\w])|(?P<other>\w+)"
+    r"|(?P<key>\b[a-z_]+(?:\.[a-z_]+)+)|(?P<number>\d+)|(?P<var>\$\w*)|(?P<word>[^\W\d_][\w]*)|(?P<mark>[.!?][^\S\n]?|[^\s\w])|(?P<other>\w+)"
 )
+#: The same for finding tokens only. A stop takes the space behind it along, which tells it from one inside a name.
+FIND = re.compile(re.sub(r"\(\?P<\w+>", "(?:", TOKEN.pattern)).findall
 PIECE = re.compile(r"[A-Z]+[a-zà-ÿ]*|[a-zà-ÿß]+|[^\W\d_]+")
 
 
@@ -76,33 +78,61 @@ class Token:
 
     __slots__ = ("alike", "flags", "kind", "last_piece", "literal", "pieces", "shape", "text")
 
-    def __init__(self, kind: str, text: str):
+    def __init__(self, kind: str, spelled: str):
+        text = spelled.rstrip() or spelled
         s = shape(kind, text)
         self.kind, self.text = kind, text
         self.shape, self.literal = text_hash(s), text_hash(text)
         self.alike = text_hash("X" if s in ("A", "C", "m") else s)
-        self.flags = NEWLINE * (kind == "nl") + CAPITAL * (s == "A") + STOP * (text in (".", "!", "?")) + UPPER * text[0].isupper()
+        self.flags = NEWLINE * (kind == "nl") + CAPITAL * (s == "A") + STOP * (text in (".", "!", "?") and spelled != text) + UPPER * text[0].isupper()
         found = PIECE.findall(text) if kind in ("word", "name", "key", "path", "var", "other") else []
         self.pieces = [signed(text_hash("w\x00" + p.lower())) for p in found]
         self.last_piece = self.pieces[-1] if found and text[-1].isalpha() else None
 
 
-_known: dict[str, Token] = {}
+class Vocabulary(dict):
+    """Token text -> number, and what there is to know about the tokens in arrays by that number."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.tokens: list[Token] = []
+        self.flags, self.first_piece, self.n_pieces = (np.zeros(0, np.int64) for _ in range(3))
+        self.shape, self.literal, self.alike = (np.zeros(0, np.uint64) for _ in range(3))
+        self.pieces = np.zeros(0, np.int64)
 
-def tokens(text: str) -> tuple[list[Token], list[int]]:
-    """The tokens of a text and where each ends."""
-    found, ends = [], []
-    if len(_known) > 400_000:
-        _known.clear()
-    for m in TOKEN.finditer(text):
-        t = m.group()
-        token = _known.get(t)
-        if token is None:
-            token = _known[t] = Token(m.lastgroup, t)
-        found.append(token)
-        ends.append(m.end())
-    return found, ends
+    def __missing__(self, text: str) -> int:
+        m = TOKEN.match(text)
+        self.tokens.append(Token(m.lastgroup if m and m.end() == len(text) else "other", text))
+        self[text] = len(self.tokens) - 1
+        return len(self.tokens) - 1
+
+    def learn(self) -> None:
+        """Bring the arrays up to date."""
+        new = self.tokens[len(self.flags) :]
+        if new:
+            count = np.array([len(t.pieces) for t in new])
+            self.first_piece = np.append(self.first_piece, len(self.pieces) + np.cumsum(count) - count)
+            self.n_pieces = np.append(self.n_pieces, count)
+            self.pieces = np.append(self.pieces, np.array([p for t in new for p in t.pieces], np.int64))
+            self.flags = np.append(self.flags, [t.flags for t in new])
+            for name in ("shape", "literal", "alike"):
+                setattr(self, name, np.append(getattr(self, name), np.array([getattr(t, name) for t in new], np.uint64)))
+
+
+_vocabulary = Vocabulary()
+
+
+def vocabulary() -> Vocabulary:
+    """The one of this process, begun again before it grows too large; to be asked for once per piece of work."""
+    global _vocabulary
+    if len(_vocabulary) > 400_000:
+        _vocabulary = Vocabulary()
+    return _vocabulary
+
+
+def tokens(text: str) -> list[Token]:
+    known = vocabulary()
+    return [known.tokens[known[t]] for t in FIND(text)]
 
 
 BEGIN = np.uint64(text_hash("^"))
@@ -116,32 +146,29 @@ def _to_key(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def contexts(source: str, found: list[Token]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token the keys of the last three shapes up to it within its line, for its source and for all; and of its line as a whole.
+def contexts(source: np.ndarray, known: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token the keys of the last three shapes up to it within its line, for its source (by hash) and for all; and of its line as a whole.
 
     A capitalised word that begins a line counts as itself. In whole lines names are all alike; -1 stands for lines of more
     than LONGEST_LINE tokens, which hardly ever repeat.
     """
-    n = len(found)
+    n = len(ids)
     with np.errstate(over="ignore"):
-        flags = np.fromiter((t.flags for t in found), np.int64, n)
+        flags, literal = known.flags[ids], known.literal[ids]
         newline = (flags & NEWLINE) > 0
         start = np.append(0, np.flatnonzero(newline) + 1)[np.cumsum(newline) - newline]  # where each token's line begins
         place = np.arange(n) - start
-        first = place == 0
-        capital = first & ((flags & CAPITAL) > 0)
-        shapes = np.fromiter((t.shape for t in found), np.uint64, n)
-        literal = np.fromiter((t.literal for t in found), np.uint64, n)
-        now = np.where(capital, literal, shapes)
+        capital = (place == 0) & ((flags & CAPITAL) > 0)
+        now = np.where(capital, literal, known.shape[ids])
         before, earlier = np.full(n, BEGIN), np.full(n, BEGIN)
         before[1:] = np.where(place[1:] >= 1, now[:-1], BEGIN)
         earlier[2:] = np.where(place[2:] >= 2, now[:-2], BEGIN)
         three = (now * _M1) ^ ((before * _M2) + (earlier * _M3))
-        alike = np.where(capital, literal, np.fromiter((t.alike for t in found), np.uint64, n))
+        alike = np.where(capital, literal, known.alike[ids])
         total = np.cumsum(alike * _POWERS[np.minimum(place, LONGEST_LINE - 1)], dtype=np.uint64)
         line = total - np.where(start > 0, total[np.maximum(start - 1, 0)], np.uint64(0))
         whole = np.where(place < LONGEST_LINE, _to_key(line ^ np.uint64(_LINE)), -1)
-        return _to_key(three ^ np.uint64(_source_hash(source))), _to_key(three), whole
+        return _to_key(three ^ source), _to_key(three), whole
 
 
 def strip_end(text: str) -> tuple[str, str]:
@@ -157,24 +184,41 @@ def strip_end(text: str) -> tuple[str, str]:
     return bare, "plain"
 
 
-def count_tokens(source: str, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, whether each ends a line or sentence) of a text's token contexts, lines and word pieces; the last token is left out, it is what is to be judged."""
-    bare, _ = strip_end(text)
-    found, stops = tokens(bare)
-    if len(found) < 2:
+def count_tokens(texts: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, whether each ends a line or sentence) of the token contexts, lines and word pieces of texts (source, text).
+
+    The last token of a text is left out, it is what is to be judged. The texts are taken together, a line feed between them.
+    """
+    known, ids, sizes, sources = vocabulary(), [], [], []
+    feed = known["\n"]
+    for source, text in texts:
+        found = FIND(strip_end(text)[0])
+        if len(found) >= 2:
+            ids += map(known.__getitem__, found)
+            ids.append(feed)
+            sizes.append(len(found) + 1)
+            sources.append(_source_hash(source))
+    if not ids:
         return
-    own, general, whole = contexts(source, found)
-    flags = np.fromiter((t.flags for t in found), np.int64, len(found))
-    here = (flags[:-1] & NEWLINE) == 0
-    line_end = (flags[1:] & NEWLINE) > 0
-    sentence = ((flags[:-1] & STOP) > 0) & ((flags[1:] & UPPER) > 0)
-    for i in np.flatnonzero(sentence):
-        sentence[i] = bare[stops[i] : stops[i] + 1].isspace()
-    for keys in (own[:-1], general[:-1]):
-        yield keys[here], (line_end | sentence)[here]
-    lines = whole[:-1][here & line_end & (whole[:-1] != -1)]
+    known.learn()
+    at = np.array(ids, np.int64)
+    inner = np.ones(len(at), bool)
+    ends = np.cumsum(sizes)
+    inner[ends - 1] = inner[ends - 2] = False
+    own, general, whole = contexts(np.repeat(np.array(sources, np.uint64), sizes), known, at)
+    flags = known.flags[at]
+    after = np.append(flags[1:], 0)
+    here = inner & ((flags & NEWLINE) == 0)
+    line_end = (after & NEWLINE) > 0
+    end = line_end | (((flags & STOP) > 0) & ((after & UPPER) > 0))
+    for keys in (own, general):
+        yield keys[here], end[here]
+    lines = whole[here & line_end & (whole != -1)]
     yield lines, np.ones(len(lines), bool)
-    pieces = np.array([p for t in found[:-1] for p in t.pieces], np.int64)
+    used = at[inner]
+    count = known.n_pieces[used]
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    pieces = known.pieces[np.repeat(known.first_piece[used], count) + offset]
     yield pieces, np.zeros(len(pieces), bool)
 
 
@@ -187,21 +231,26 @@ def _added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, n = [], 0
     for batch in batches:
+        texts, size = [], 0
         for source, text in zip(batch["source"], batch["text"]):
-            for keys, ends in count_tokens(source or "", text):
-                held.append((keys, ends))
-                n += len(keys)
+            texts.append((source if isinstance(source, str) else "", text))
+            size += len(text)
+            if size >= 1 << 20:
+                held += count_tokens(texts)
+                n, texts, size = sum(len(k) for k, _ in held), [], 0
             if n >= HELD:
                 yield _added_up(held)
                 held, n = [], 0
-    if held:
+        held += count_tokens(texts)
+        n = sum(len(k) for k, _ in held)
+    if n:
         yield _added_up(held)
 
 
 def ending(source: str, bare: str) -> tuple[list[Token], tuple[int, int, int]]:
     """The tokens of a text's last line, or of its last 150 characters, and what ``contexts`` gives for the last of them."""
     line = bare[bare.rfind("\n") + 1 :]
-    found = tokens(line if len(line) <= 250 else line[-150:])[0]
+    found = tokens(line if len(line) <= 250 else line[-150:])
     if not found:
         return [], (-1, -1, -1)
     whole_line = len(line) <= 250
@@ -246,31 +295,41 @@ def _balance(text: str) -> bool:
     return line.count("(") <= line.count(")") and line.count("[") <= line.count("]") and line.count("`") % 2 == 0 and line.count('"') % 2 == 0
 
 
+CODE_LINE = re.compile(r"[;{}]\s*$", re.M)
+COMMENT = re.compile(r"^\s*/\*", re.M)
+HEADER = re.compile(r"^\s*(?:(?:abstract|final|readonly|public|private|protected|static|export|default) )*(?:class|interface|trait|enum|struct|module|namespace)\s+\w", re.M)
+FIELD = re.compile(r"[A-Za-z_]\w*:(?: |$)")
+FIELDS = re.compile(r"(?:[A-Za-z_]\w*: [^\n]*\n){2}")
+
+
 def structure(text: str) -> str:
-    """open: inside a record, comment, fence or bracket that is not closed; shut: at the end of one; flat: neither."""
+    """open: inside a record, comment, fence or bracket that is not closed; shut: at the end of one; flat: neither.
+
+    Code is told by lines that end in a semicolon or brace, a record by its opening brace, a text of labelled fields by the
+    labels that begin it; nothing depends on which labels a source uses.
+    """
     head, tail = text[:400].lstrip(), text[text.rfind("\n") + 1 :].strip()
     if head.startswith("{") and tail.startswith("{"):
         try:
             json.loads(tail)
             return "shut"
-        except ValueError:
+        except (ValueError, RecursionError):
             return "open"
-    if head.startswith("/**") and "*/" not in text[:-2]:
+    if head.startswith("/*") and "*/" not in text[:-2]:
         return "shut" if text.endswith("*/") else "open"
-    if text.count("```") % 2:
+    comments = [m.start() for m in COMMENT.finditer(text)]
+    if text.count("```") % 2 or (comments and text.find("*/", comments[-1]) < 0):
         return "open"
     if tail.startswith("```"):
         return "shut"
-    code = text.find("source:\n")
-    if 0 <= code < 600:
-        code += len("source:\n")
-        body = text[code:]
-        depth = body.count("{") - body.count("}")
-        first = body.lstrip()
-        if re.match(r"(?:abstract |final |readonly )*(?:class|interface|trait|enum) ", first):  # a header has its brace open by nature
+    labelled = FIELDS.match(head) is not None
+    first = CODE_LINE.search(text) if "```" not in text else None  # what is fenced is closed
+    if first and (labelled or len(CODE_LINE.findall(text, 0, 4000)) >= 2):
+        depth = text.count("{") - text.count("}")
+        if (opening := HEADER.search(text, 0, first.end())) and opening.start() <= first.start():  # a header has its brace open by nature
             return "flat" if depth == 1 and _balance(text) else "shut" if depth == 0 and text.endswith("}") else "open"
         return "shut" if depth == 0 and text.endswith(("}", ";")) else "open"
-    if head.startswith(("method:", "function:", "class:", "class_header:", "interface_header:", "trait_header:", "enum_header:")) and code < 0:
+    if labelled and FIELD.match(tail):  # it ends where only labels have been
         return "open"
     return "flat" if _balance(text) else "open"
 
@@ -456,7 +515,8 @@ def fit_mixture(real: dict[str, dict[str, float]], made: dict[str, float], start
     p_cut = {f: (made.get(f, 0.0) + kappa * base_cut.get(f, floor)) / (cut_total + kappa) for f in names}
     off = real.get("off", {})
     n_off, rate = sum(off.values()), dict(start)
-    rate["off"] = share_of_cuts(off, p_cut) if n_off >= 200 else start.get("off", 0.03)
+    trust = n_off / (n_off + 200)  # a source of few texts leans on what holds for all
+    rate["off"] = trust * share_of_cuts(off, p_cut) + (1 - trust) * start.get("off", 0.03)
 
     # Endings that no other source's whole texts have need a tenfold excess over what cuts explain.
     times = {f: 1 if "|tiny|" in f else 2 if base_whole.get(f, 0.0) > 1e-4 else 10 if base_whole else 3 for f in names}
@@ -495,9 +555,10 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S"))
     sized = rows.withColumns({"n_char": F.length("text"), "n_byte": F.octet_length("text")})
-    limits = materialize(length_limits(sized).where("posterior > 0.3").select("source", "unit", "length", "posterior"))
-    by_char = limits.where("unit = 'char'").select(F.col("source").alias("cs"), F.col("length").alias("cl"), F.col("posterior").alias("cp"))
-    by_byte = limits.where("unit = 'byte'").select(F.col("source").alias("bs"), F.col("length").alias("bl"), F.col("posterior").alias("bp"))
+    limits = written(length_limits(sized).where("posterior > 0.3").select("source", "unit", "length", "posterior"))
+    near = broadcast_if_small(limits, 200_000)  # a few dozen bytes a row; with it no text is exchanged
+    by_char = near.where("unit = 'char'").select(F.col("source").alias("cs"), F.col("length").alias("cl"), F.col("posterior").alias("cp"))
+    by_byte = near.where("unit = 'byte'").select(F.col("source").alias("bs"), F.col("length").alias("bl"), F.col("posterior").alias("bp"))
     at = (
         sized.join(by_char, F.col("source").eqNullSafe(F.col("cs")) & (F.col("n_char") == F.col("cl")), "left")
         .join(by_byte, F.col("source").eqNullSafe(F.col("bs")) & (F.col("n_byte") == F.col("bl")), "left")
@@ -514,7 +575,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
         (base_cut if r["made"] else base_off if r["off"] else base_at)[r["ending"]] += r["n"]
     add_traces(base_cut)
     cut0 = {k: v / max(1.0, sum(base_cut.values())) for k, v in base_cut.items()}
-    _, _, whole0 = fit_mixture({"off": dict(base_off), "at": dict(base_at)}, dict(base_cut), {"off": 0.03, "at": 0.8}, {}, {})
+    _, rate0, whole0 = fit_mixture({"off": dict(base_off), "at": dict(base_at)}, dict(base_cut), {"off": 0.03, "at": 0.8}, {}, {})
 
     def per_source(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         real: dict[str, dict[str, float]] = {}
@@ -526,7 +587,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
                 real.setdefault(limit, {})[ending] = n
         add_traces(made)
         first = {k: frame.loc[frame["limit_key"] == k, "posterior"].max() for k in real}
-        first = {k: 0.03 if k == "off" or not v == v else min(0.99, float(v)) for k, v in first.items()}
+        first = {k: rate0["off"] if k == "off" or not v == v else min(0.99, float(v)) for k, v in first.items()}
         post, rate, _ = fit_mixture(real, dict(made), first, whole0, cut0)
         return pd.DataFrame([(key[0], k, f, p, rate[k]) for (k, f), p in post.items()], columns=["source", "limit_key", "ending", "posterior", "rate"])
 
