@@ -82,6 +82,17 @@ latest AS (
   WHERE n = 1 AND text IS NOT NULL)"""
 
 ORACLE = {
+    # Every vector against all of its embedder: what the partitions may miss a share of.
+    "p1_found": """
+WITH lengths AS (SELECT embedder_id, len(vector) AS dim, count(*) AS n FROM vectors WHERE vector IS NOT NULL GROUP BY ALL),
+dims AS (SELECT embedder_id, coalesce(c.dimensions, l.dim) AS dim FROM (SELECT embedder_id, arg_max(dim, (n, dim)) AS dim FROM lengths GROUP BY 1) l
+         LEFT JOIN (SELECT embedder_id, max(dimensions) AS dimensions FROM embedder_configs GROUP BY 1) c USING (embedder_id)),
+usable AS (SELECT embedder_id, id, arg_max(vector, coalesce(embedded_at, TIMESTAMP '0001-01-01')) AS v FROM vectors JOIN dims USING (embedder_id)
+           WHERE id IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ALL),
+wide AS (SELECT embedder_id, id, CAST(v AS DOUBLE[]) AS v FROM usable),
+near AS (SELECT a.embedder_id, a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS s FROM wide a JOIN wide b ON a.embedder_id = b.embedder_id AND a.id <> b.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY embedder_id, id ORDER BY s DESC, other) AS r FROM near)
+SELECT DISTINCT embedder_id, least(id, other) AS id_a, greatest(id, other) AS id_b FROM best WHERE r <= 5 AND s >= 0.8""",
     "p3_found": f"""
 WITH {_LATEST_CHUNKS},
 lines AS (SELECT id, text, string_split(text, chr(10)) AS l FROM latest),

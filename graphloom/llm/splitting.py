@@ -20,15 +20,33 @@ NAMES = {CHARACTER: "none", SPACE: "space", LINE: "line", BLANK_LINE: "blank_lin
 PIECE = "piece_no int, start_byte int, end_byte int, overlap_bytes int, cut_strength int, text string"
 
 
-def boundary_strengths(data: bytes) -> np.ndarray:
-    """Strength of a cut before byte p, for p in 0..len(data)."""
-    n = len(data)
-    b = np.frombuffer(data, np.uint8)
+def _only_blanks(data: bytes, at: int, step: int) -> bool:
+    """Whether the line that holds ``at`` has nothing but spaces, tabs and carriage returns before it (step -1) or from it on (step 1)."""
+    reach = 4096
+    while 0 < at if step < 0 else at < len(data):
+        lo, hi = (max(0, at - reach), at) if step < 0 else (at, at + reach)
+        part = data[lo:hi]
+        feed = part.rfind(b"\n") if step < 0 else part.find(b"\n")
+        rest = part if feed < 0 else part[feed + 1 :] if step < 0 else part[:feed]
+        if rest.strip(b" \t\r"):
+            return False
+        if feed >= 0:
+            return True
+        at = lo if step < 0 else hi
+    return True
+
+
+def boundary_strengths(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Strength of a cut before byte p, for p in first..last (the length of the data if not given).
+
+    Memory grows with last - first alone: of what lies outside only the lines at both ends are looked at.
+    """
+    last = len(data) if last is None else min(last, len(data))
+    lo, hi = max(0, first - 1), min(len(data), last + 1)
+    n = hi - lo
+    b = np.frombuffer(data, np.uint8, n, lo)
     strength = np.full(n + 1, CHARACTER, np.int8)
     strength[:n][(b & 0xC0) == 0x80] = NEVER
-    if n == 0:
-        strength[0] = BLANK_LINE
-        return strength
     blank = (b == 32) | (b == 9) | (b == 13)
     newline = b == 10
     space = blank | newline
@@ -36,18 +54,25 @@ def boundary_strengths(data: bytes) -> np.ndarray:
     strength[1:][space] = SPACE
     strength[:n][newline] = LINE
     strength[1:][newline] = LINE
-    strength[0] = strength[n] = BLANK_LINE
     # The lines: [start, end) without the line feed; a blank one holds nothing but spaces, tabs and carriage returns.
     ends = np.append(np.flatnonzero(newline), n)
     starts = np.append(0, ends[:-1] + 1)
-    ink = np.append(0, np.cumsum(~space))
+    ink = np.append(np.int32(0), np.cumsum(~space, dtype=np.int32))
     is_blank = ink[ends] == ink[starts]
+    is_blank[0] &= _only_blanks(data, lo, -1)
+    is_blank[-1] &= _only_blanks(data, hi, 1)
     # Cuts from the start of a blank line to its end, and at the neighbours' edges, lie outside every run of non-blank lines.
-    edge = np.zeros(n + 2, np.int64)
+    edge = np.zeros(n + 2, np.int32)
     np.add.at(edge, np.maximum(starts[is_blank] - 1, 0), 1)
     np.add.at(edge, np.minimum(ends[is_blank] + 1, n) + 1, -1)
-    strength[np.cumsum(edge[: n + 1]) > 0] = BLANK_LINE
-    return strength
+    strength[np.cumsum(edge[: n + 1], dtype=np.int32) > 0] = BLANK_LINE
+    if lo == 0:
+        strength[0] = BLANK_LINE
+    if hi == len(data):
+        strength[n] = BLANK_LINE
+    elif (data[hi] & 0xC0) == 0x80:
+        strength[n] = NEVER
+    return strength[first - lo : last - lo + 1]
 
 
 class RangeMax:
@@ -75,27 +100,28 @@ def split_bytes(data: bytes, limit: int, overlap: int, block: int = 1 << 18) ->
 
     A cut that leaves room for the whole overlap is preferred unless a stronger one lies behind it. The overlap begins beside
     white space if there is any within reach, else between characters. The last piece's strength is that of the text's end.
-    The table covers ``block`` bytes at a time, so memory stays bounded however long the text is.
+    Strengths and table cover ``block`` bytes at a time, so besides the text memory stays bounded however long it is.
     """
     if not 4 <= limit or not 0 <= overlap < limit:
         raise ValueError("limit must be at least 4 bytes, overlap at least 0 and below the limit")
     n = len(data)
     if n <= limit:
         return [(0, n, 0, BLANK_LINE)]
-    strength = boundary_strengths(data)
-    base, table = 0, RangeMax(strength[: block + limit + 1], limit)
-    pieces, cut = [], 0
+    base, pieces, cut = -1, [], 0
     while n - cut > limit:
-        if cut - base > block:
-            base, table = cut, RangeMax(strength[cut : cut + block + limit + 1], limit)
+        if base < 0 or cut - base > block:
+            base = max(0, cut - overlap)  # the next piece may begin that far back
+            strength = boundary_strengths(data, base, base + block + overlap + limit)
+            table = RangeMax(strength, limit)
         end = base + table.query(cut + 1 - base, cut + limit - base)
         near = base + table.query(cut + 1 - base, cut + limit - (overlap if pieces else 0) - base)
-        if strength[near] == strength[end]:
+        if strength[near - base] == strength[end - base]:
             end = near
-        start = _overlap_start(strength, max(cut - overlap, end - limit, 0), cut) if pieces else 0
-        pieces.append((start, end, cut - start, int(strength[end])))
+        start = base + _overlap_start(strength, max(cut - overlap, end - limit, 0) - base, cut - base) if pieces else 0
+        pieces.append((start, end, cut - start, int(strength[end - base])))
         cut = end
-    start = _overlap_start(strength, max(cut - overlap, n - limit, 0), cut)
+    lo = max(cut - overlap, n - limit, 0)
+    start = lo + _overlap_start(boundary_strengths(data, lo, cut), 0, cut - lo)
     return [*pieces, (start, n, cut - start, BLANK_LINE)]
 
 

@@ -95,3 +95,30 @@ def test_bad_limits():
     for limit, overlap in ((3, 0), (10, 10), (10, -1)):
         with pytest.raises(ValueError):
             S.split_bytes(b"x", limit, overlap)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_strengths_of_a_stretch_are_those_of_the_whole(seed):
+    rng = random.Random(seed)
+    data = "".join(rng.choice(["a", "b", " ", "\t", "\n", "\n", "\r\n", "é", "漢"]) for _ in range(rng.randint(0, 60))).encode()
+    whole = S.boundary_strengths(data)
+    for first in range(len(data) + 1):
+        for last in range(first, len(data) + 1):
+            assert (S.boundary_strengths(data, first, last) == whole[first : last + 1]).all(), (data, first, last)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_pieces_do_not_depend_on_blocks(seed):
+    rng = random.Random(seed)
+    data = "".join(rng.choice(["word", "x", " ", " ", "\n", "\n\n", " \t\n", "漢"]) for _ in range(3000)).encode()
+    assert len({tuple(S.split_bytes(data, 50, 9, block)) for block in (1, 17, 200, 1 << 18)}) == 1
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    data = b"some words of a long line without any end " * 250_000
+    tracemalloc.start()
+    S.split_bytes(data, 1600, 160)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
