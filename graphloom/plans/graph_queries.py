@@ -17,17 +17,11 @@ def _on_graph(f):
 
 
 def _call_trees(g: G.Graph, direction: str) -> DataFrame:
-    kind = "routes_to" if direction == "downstream" else "calls"
-    roots = g.edges_of(kind).select("project_slug", F.col("target").alias("root")).distinct()
+    """Downstream from every caller, upstream from everything called."""
+    roots = g.edges_of("calls").select("project_slug", F.col("source" if direction == "downstream" else "target").alias("root")).distinct()
     return T.expand_call_tree(g, roots, direction, max_depth=3, max_nodes=200).select("project_slug", "root", "rank", "id", "depth", "via", "call_site_line")
 
 
-def _call_trees_of_all(g: G.Graph) -> DataFrame:
-    """Downstream from every caller, whether a route leads to it or not."""
-    roots = g.edges_of("calls").select("project_slug", F.col("source").alias("root")).distinct()
-    return T.expand_call_tree(g, roots).select("project_slug", "root", "rank", "id", "depth", "via", "call_site_line")
-
-
 def _bfs(g: G.Graph, **bounds: int) -> DataFrame:
     roots = g.of_kind("route").select("project_slug", F.col("id").alias("root"))
     return G.bfs(g, roots, ["routes_to", "calls", "part_of", "fires"], **bounds).select("project_slug", "root", "rank", "id", "depth")
@@ -41,7 +35,7 @@ def _dangling(g: G.Graph) -> DataFrame:
 QUERIES = {
     "list_routes": _on_graph(T.list_routes),
     "list_routes_filtered": _on_graph(lambda g: T.list_routes(g, method="get", uri_glob="/*/{id}*", middleware="auth.badge")),
-    "list_by_kind": _on_graph(lambda g: T.list_by_kind(g, "model")),
+    "list_by_kind": _on_graph(T.list_by_kind),
     "list_by_kind_page": _on_graph(lambda g: T.list_by_kind(g, "controller", name_glob="*Controller", namespace_prefix="App\\", offset=2, limit=5)),
     "list_modules": _on_graph(T.list_modules),
     "describe_module": _on_graph(lambda g: T.describe_module(g, "App\\Billing")),
@@ -64,10 +58,8 @@ QUERIES = {
     "find_cache_users": _on_graph(T.find_cache_users),
     "cache_keys_matching": _on_graph(lambda g: T.cache_keys_matching(g, "*.list")),
     "expand_call_tree": _on_graph(lambda g: _call_trees(g, "downstream")),
-    "expand_call_tree_all": _on_graph(_call_trees_of_all),
     "expand_call_tree_upstream": _on_graph(lambda g: _call_trees(g, "upstream")),
-    "bfs": _on_graph(lambda g: _bfs(g, max_depth=3, node_limit=50)),
-    "bfs_full": _on_graph(_bfs),
+    "bfs": _on_graph(_bfs),
     "dangling_edges": _on_graph(_dangling),
 }
 
@@ -143,7 +135,7 @@ lis AS (SELECT project_slug, {_BARE.format('target')} AS event, source AS listen
 ORACLE = {
     "list_routes": f"WITH {_N} {_LIST_ROUTES}",
     "list_routes_filtered": f"WITH {_N} SELECT * FROM ({_LIST_ROUTES}) WHERE list_contains(string_split(methods, ','), 'GET') AND regexp_matches(ltrim(uri, '/'), '(?s)^.*/\\{{id\\}}.*$') AND list_contains(string_split(middleware, ','), 'auth.badge')",
-    "list_by_kind": f"WITH {_N}, {_CLASSES} SELECT *, row_number() OVER (PARTITION BY project_slug ORDER BY fqn) - 1 AS position FROM cls WHERE kind = 'model'",
+    "list_by_kind": f"WITH {_N}, {_CLASSES} SELECT *, row_number() OVER (PARTITION BY project_slug, kind ORDER BY fqn) - 1 AS position FROM cls",
     "list_by_kind_page": f"WITH {_N}, {_CLASSES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_slug ORDER BY fqn) - 1 AS position FROM cls WHERE kind = 'controller' AND ends_with(short_name, 'Controller') AND starts_with(fqn, 'App\\')) WHERE position >= 2 AND position < 7",
     "list_modules": f"""WITH {_N}, {_CLASSES},
 m AS (SELECT project_slug, kind, CASE WHEN regexp_extract(fqn, '^((?:[^\\\\]+\\\\)*?(?:Modules|Module)\\\\[^\\\\]+)\\\\', 1) <> '' THEN regexp_extract(fqn, '^((?:[^\\\\]+\\\\)*?(?:Modules|Module)\\\\[^\\\\]+)\\\\', 1)
@@ -174,7 +166,10 @@ SELECT n.project_slug, n.id AS class_id, coalesce(a->>'$.fqn', substr(id, 7)) AS
        coalesce(TRY_CAST(a->>'$.abstract' AS BOOLEAN), false) AS abstract, coalesce(TRY_CAST(a->>'$.final' AS BOOLEAN), false) AS final, TRY_CAST(a->>'$.readonly' AS BOOLEAN) AS readonly, parent,
        coalesce(interfaces, '') AS interfaces, coalesce(traits, '') AS traits, coalesce(methods, '') AS methods, coalesce(routes, '') AS routes, coalesce(fires, '') AS fires, coalesce(dispatches, '') AS dispatches,
        coalesce(notifies, '') AS notifies, coalesce(views, '') AS views, coalesce(policies, '') AS policies,
-       coalesce(CASE WHEN json_type(a, '$.cases') = 'ARRAY' THEN len(list_filter(CAST(a->'$.cases' AS JSON[]), lambda c: c->>'$.name' IS NOT NULL)) END, 0) AS case_count
+       coalesce(CASE WHEN json_type(a, '$.cases') = 'ARRAY' THEN len(list_filter(CAST(a->'$.cases' AS JSON[]), lambda c: c->>'$.name' IS NOT NULL)) END, 0) AS case_count,
+       CASE WHEN json_type(a, '$.cases') = 'ARRAY' THEN array_to_string(list_transform(list_filter(CAST(a->'$.cases' AS JSON[]), lambda c: c->>'$.name' IS NOT NULL), lambda c: (c->>'$.name') || coalesce('=' || (c->>'$.value'), '')), ',') END AS cases,
+       CASE WHEN json_type(a, '$.kinds') = 'ARRAY' THEN array_to_string(CAST(a->'$.kinds' AS VARCHAR[]), ',') END AS kinds,
+       CASE WHEN json_type(a, '$.interfaces_inherited') = 'ARRAY' THEN array_to_string(list_sort(CAST(a->'$.interfaces_inherited' AS VARCHAR[])), ',') END AS interfaces_inherited
 FROM n LEFT JOIN meth ON meth.project_slug = n.project_slug AND meth.class_id = n.id LEFT JOIN eff ON eff.project_slug = n.project_slug AND eff.class_id = n.id LEFT JOIN rts ON rts.project_slug = n.project_slug AND rts.class_id = n.id
 LEFT JOIN up ON up.project_slug = n.project_slug AND up.class_id = n.id LEFT JOIN par ON par.project_slug = n.project_slug AND par.class_id = n.id LEFT JOIN pol ON pol.project_slug = n.project_slug AND pol.class_id = n.id
 WHERE starts_with(n.id, 'class:') AND n.kind IN ({_KINDS})""",
@@ -195,8 +190,11 @@ LEFT JOIN pol ON pol.project_slug = m.project_slug AND pol.model = m.model LEFT
 mw AS (SELECT project_slug, source AS route_id, string_agg(regexp_replace(target, '^[^:]*:', ''), ',' ORDER BY edge_seq, target) AS middleware FROM e WHERE kind = 'has_middleware' GROUP BY ALL),
 eff AS (SELECT project_slug, source AS method_id, {_effects([('fires', 'fires'), ('dispatches', 'dispatches'), ('notifies', 'notifies'), ('returns_view', 'views')])},
         arg_min(coalesce(ta->>'$.fqn', tname), edge_seq) FILTER (kind = 'validates_with') AS form_request FROM out WHERE kind IN ('fires', 'dispatches', 'notifies', 'returns_view', 'validates_with') GROUP BY ALL)
-SELECT r.project_slug, r.route_id, uri, methods, r.name, handler, handler_method, handler_line, form_request, coalesce(middleware, '') AS middleware, coalesce(fires, '') AS fires, coalesce(dispatches, '') AS dispatches, coalesce(notifies, '') AS notifies, coalesce(views, '') AS views
-FROM routes r LEFT JOIN mw USING (project_slug, route_id) LEFT JOIN hh USING (project_slug, route_id) LEFT JOIN eff USING (project_slug, method_id)""",
+SELECT r.project_slug, r.route_id, uri, methods, r.name, handler, handler_method, handler_line, form_request, coalesce(middleware, '') AS middleware, coalesce(fires, '') AS fires, coalesce(dispatches, '') AS dispatches, coalesce(notifies, '') AS notifies, coalesce(views, '') AS views,
+       f.a->>'$.file' AS handler_file, CASE WHEN hh.method_id IS NOT NULL THEN 'controller' WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.project_slug = r.project_slug AND e.source = r.route_id AND e.kind = 'routes_to') THEN nullif(action_kind, '') END AS handler_kind,
+       coalesce((SELECT string_agg(DISTINCT sname, ',' ORDER BY sname) FROM inc WHERE inc.project_slug = r.project_slug AND inc.kind = 'applies_to' AND inc.target = 'class:' || handler), '') AS policies
+FROM routes r LEFT JOIN mw USING (project_slug, route_id) LEFT JOIN hh USING (project_slug, route_id) LEFT JOIN eff USING (project_slug, method_id)
+LEFT JOIN n f ON f.project_slug = r.project_slug AND f.id = 'class:' || handler AND f.kind IN ({_KINDS})""",
     "find_handlers": f"""WITH {_N} SELECT r.project_slug, r.route_id, uri, methods, r.name AS route_name, r.action_kind, handler AS class_fqn, handler_method AS method, f.a->>'$.file' AS file, handler_line AS line
 FROM routes r LEFT JOIN hh USING (project_slug, route_id) LEFT JOIN n f ON f.project_slug = r.project_slug AND f.id = 'class:' || handler""",
     "find_listeners": f"WITH {_N}, {_LISTENERS} SELECT * FROM lis",
@@ -212,11 +210,9 @@ FROM f LEFT JOIN m ON m.project_slug = f.project_slug AND m.bare = regexp_replac
     "find_cache_users": f"""WITH {_N} SELECT i.project_slug, o.tname AS key, CASE WHEN i.kind = 'cache_read' THEN 'read' ELSE 'write' END AS mode, sa->>'$.class_fqn' AS class_fqn, sname AS method, coalesce(i.ea->>'$.file', sa->>'$.file') AS file,
        coalesce(nullif(TRY_CAST(i.ea->>'$.line' AS INT), 0), TRY_CAST(sa->>'$.line' AS INT)) AS line, i.ea->>'$.form' AS form FROM inc i JOIN out o USING (edge_seq) WHERE i.kind IN ('cache_read', 'cache_write') AND o.tkind = 'cache_key'""",
     "cache_keys_matching": f"WITH {_N} SELECT DISTINCT project_slug, name AS key FROM n WHERE kind = 'cache_key' AND regexp_matches(name, '(?s)^.*\\.list$')",
-    "expand_call_tree": _tree("routes_to", "source", "target"),
-    "expand_call_tree_all": _tree("calls", "source", "target", "source"),
+    "expand_call_tree": _tree("calls", "source", "target", "source"),
     "expand_call_tree_upstream": _tree("calls", "target", "source"),
-    "bfs": _bfs_sql(3, 50),
-    "bfs_full": _bfs_sql(5, 200),
+    "bfs": _bfs_sql(5, 200),
     "get_request_flow": f"""WITH {_N}, {_LISTENERS},
 f AS (SELECT DISTINCT h.project_slug, h.route_id, {_BARE.format('o.target')} AS event, o.tname AS event_name FROM hh h JOIN out o ON o.project_slug = h.project_slug AND o.source = h.method_id AND o.kind = 'fires'),
 l AS (SELECT DISTINCT project_slug, event, listener_id, short_name, listener_fqn, method FROM lis),

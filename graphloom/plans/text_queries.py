@@ -20,7 +20,8 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     """Stored vectors whose id, read as a number, is divisible by 20 as queries, against all of their project and embedder."""
     vectors = retrieval.latest_vectors(table(spark, d, "vectors"))
-    queries = vectors.where(F.conv(F.substr("id", F.lit(11)), 16, 10).cast("long") % 20 == 0)
+    head, tail = (F.conv(x, 16, 10).cast("long") for x in (F.substr("id", F.lit(1), F.lit(10)), F.substr("id", F.lit(11))))  # 16^6 leaves 16
+    queries = vectors.where((head % 20 * 16 + tail) % 20 == 0)
     return retrieval.semantic_search(G.load_graph(spark, d), vectors, queries)
 
 
@@ -105,7 +106,7 @@ WITH {_N},
 ok AS (SELECT *, CAST(vector AS DOUBLE[]) AS vec FROM vectors WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY embedder_id, id ORDER BY embedded_at DESC NULLS LAST) AS r FROM ok) WHERE r = 1),
 p AS (SELECT q.project_slug, q.embedder_id, q.id AS qid, v.id, round(list_cosine_similarity(q.vec, v.vec), 6) AS s, coalesce(nullif(v.payload.node_id, ''), 'chunk:' || v.id) AS node_id
-      FROM v q JOIN v ON v.project_slug = q.project_slug AND v.embedder_id = q.embedder_id AND len(v.vec) = len(q.vec) WHERE CAST('0x' || substr(q.id, 11) AS BIGINT) % 20 = 0),
+      FROM v q JOIN v ON v.project_slug = q.project_slug AND v.embedder_id = q.embedder_id AND len(v.vec) = len(q.vec) WHERE (CAST('0x' || substr(q.id, 1, 8) AS BIGINT) * 256 + CAST('0x' || substr(q.id, 9, 2) AS BIGINT)) % 20 * 16 % 20 = (20 - CAST('0x' || substr(q.id, 11) AS BIGINT) % 20) % 20),
 k AS (SELECT *, row_number() OVER (PARTITION BY project_slug, embedder_id, qid ORDER BY s DESC, id) AS rank FROM p),
 m AS (SELECT project_slug, embedder_id, qid, node_id, max(s) AS vector_score, arg_min(id, rank) AS chunk_id FROM k WHERE rank <= 30 GROUP BY ALL),
 w AS (SELECT m.*, coalesce(n.kind, 'chunk') AS kind, n.name, round(vector_score * ({_WEIGHT}), 6) AS score FROM m LEFT JOIN n ON n.project_slug = m.project_slug AND n.id = m.node_id),

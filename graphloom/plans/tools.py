@@ -81,16 +81,16 @@ def _classes(g: Graph, kinds: list[str]) -> DataFrame:
     return nodes.select("project_slug", "kind", F.substr("id", F.lit(7)).alias("fqn"), F.col("name").alias("short_name"), F.col("a.file").alias("file"), F.col("a.namespace").alias("namespace"), "a")
 
 
-def list_by_kind(g: Graph, kind: str, name_glob: str | None = None, namespace_prefix: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Classes of a kind by name; the namespace prefix is a plain text prefix. ``position`` counts from 0 per project."""
-    if kind not in G.LISTABLE_KINDS:
+def list_by_kind(g: Graph, kind: str | None = None, name_glob: str | None = None, namespace_prefix: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Classes of a kind, or of every kind, by name; the namespace prefix is a plain text prefix. ``position`` counts from 0 per project and kind."""
+    if kind is not None and kind not in G.LISTABLE_KINDS:
         raise ValueError(f"non_listable_kind: {kind}")
-    rows = _classes(g, [kind]).drop("a")
+    rows = _classes(g, [kind] if kind else G.LISTABLE_KINDS).drop("a")
     if name_glob:
         rows = rows.where(matches_glob(F.col("short_name"), name_glob))
     if namespace_prefix:
         rows = rows.where(F.col("fqn").startswith(namespace_prefix))
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("project_slug").orderBy("fqn")) - 1)
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("project_slug", "kind").orderBy("fqn")) - 1)
     if limit is not None or offset:
         rows = rows.where((F.col("position") >= offset) & (F.col("position") < offset + (limit or (1 << 31))))
     return rows.select("project_slug", "kind", "fqn", "short_name", "file", "namespace", "position")
@@ -162,6 +162,8 @@ def describe_class(g: Graph) -> DataFrame:
         "project_slug", "class_id", F.coalesce("a.fqn", F.substr("class_id", F.lit(7))).alias("fqn"), F.col("name").alias("short_name"), F.col("a.namespace").alias("namespace"), F.col("a.file").alias("file"), "kind",
         F.coalesce("a.abstract", F.lit(False)).alias("abstract"), F.coalesce("a.final", F.lit(False)).alias("final"), F.col("a.readonly").alias("readonly"), "parent", *text,
         F.coalesce(F.size(F.filter("a.cases", lambda c: c["name"].isNotNull())), F.lit(0)).alias("case_count"),
+        F.array_join(F.transform(F.filter("a.cases", lambda c: c["name"].isNotNull()), lambda c: F.concat_ws("=", c["name"], c["value"])), ",").alias("cases"),
+        F.array_join("a.kinds", ",").alias("kinds"), F.array_join(F.array_sort("a.interfaces_inherited"), ",").alias("interfaces_inherited"),
     )
 
 
@@ -187,19 +189,26 @@ def get_model_context(g: Graph) -> DataFrame:
     methods = G.with_sources(g, g.edges_of("part_of")).select("project_slug", F.col("target").alias("model"), name.alias("method"), category.alias("category"))
     policy = G.with_sources(g, g.edges_of("applies_to")).select("project_slug", F.col("target").alias("model"), "edge_seq", G.class_fqn(F.regexp_replace("source", "^policy:", "class:")).alias("policy"))
     observed = g.edges_of("observes").groupBy("project_slug", F.col("target").alias("model")).agg(joined(G.class_fqn(F.col("source"))).alias("observers"))
-    # Without OBSERVES edges: observers of the project whose id holds the model's short name (a heuristic). Every part of an
-    # observer's id is looked up among the models, so no model is compared with every observer.
-    pieces = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("observer")), lambda i: F.transform(F.sequence(F.lit(1), F.length("observer") - i + 1), lambda n: F.substr("observer", i, n))))))
-    guess = g.of_kind("observer").select("project_slug", F.col("id").alias("observer")).select("project_slug", "observer", pieces.alias("short"))
-    guess = models.join(guess, ["project_slug", "short"]).groupBy("project_slug", "model").agg(joined(G.class_fqn(F.col("observer"))).alias("guessed"))
+    # Without OBSERVES edges: observers of the project whose id holds the model's short name (a heuristic). Candidates share the
+    # three characters the name begins with, so that no model is compared with every observer and an id gives one row a character.
+    seeds = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("observer")), lambda i: F.substr("observer", i, F.lit(3)))))
+    guess = g.of_kind("observer").select("project_slug", F.col("id").alias("observer")).where("observer <> ''").select("project_slug", "observer", seeds.alias("seed"))
+    short = F.col("short")
+    by_seed = models.where(F.length(short) >= 3).withColumn("seed", F.substr(short, F.lit(1), F.lit(3)))
+    by_less = models.where(F.length(short).between(1, 2)).join(g.of_kind("observer").select("project_slug", F.col("id").alias("observer")), "project_slug").where(F.contains("observer", short))
+    guess = by_seed.join(guess, ["project_slug", "seed"]).where(F.contains("observer", short)).select(*by_less.columns).unionByName(by_less)
+    guess = guess.groupBy("project_slug", "model").agg(joined(G.class_fqn(F.col("observer"))).alias("guessed"))
     rows = models.join(methods, ["project_slug", "model"], "left").join(G.first_edge(policy, ["project_slug", "model"], "policy"), ["project_slug", "model"], "left")
     rows = rows.join(observed, ["project_slug", "model"], "left").join(guess, ["project_slug", "model"], "left")
     return rows.select("project_slug", "model", "policy", F.coalesce("observers", "guessed", F.lit("")).alias("observers"), "method", "category")
 
 
 def trace_route(g: Graph) -> DataFrame:
-    """Each route with handler, middleware in edge order (text after the first colon), form request and the handler's effects."""
-    routes = g.of_kind("route").select("project_slug", F.col("id").alias("route_id"), _uri(F.col("name")).alias("uri"), _verbs().alias("methods"), F.col("a.name").alias("name"))
+    """Each route with handler, middleware in edge order (text after the first colon), form request, the handler's effects and policies.
+
+    ``handler_kind`` is controller for a known handler method, else what the route says, if it leads nowhere at all.
+    """
+    routes = g.of_kind("route").select("project_slug", F.col("id").alias("route_id"), _uri(F.col("name")).alias("uri"), _verbs().alias("methods"), F.col("a.name").alias("name"), F.col("a.action_kind").alias("action_kind"))
     mw = g.edges_of("has_middleware").groupBy("project_slug", F.col("source").alias("route_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_seq", "target"))), lambda x: F.regexp_replace(x["target"], "^[^:]*:", "")), ",").alias("middleware"))
     handler = _handlers(g)
     kinds = (("fires", "fires"), ("dispatches", "dispatches"), ("notifies", "notifies"), ("returns_view", "views"))
@@ -208,9 +217,15 @@ def trace_route(g: Graph) -> DataFrame:
         *[joined(F.when(F.col("kind") == k, F.col("target_name"))).alias(n) for k, n in kinds],
         F.min_by(F.coalesce("target_a.fqn", "target_name"), F.when(F.col("kind") == "validates_with", F.col("edge_seq"))).alias("form_request"),
     )
+    policies = G.with_sources(g, g.edges_of("applies_to")).groupBy("project_slug", F.col("target").alias("handler_id")).agg(joined(F.col("source_name")).alias("policies"))
+    owners = g.of_kind(*G.LISTABLE_KINDS).where(F.col("id").startswith("class:")).select("project_slug", F.col("id").alias("handler_id"), F.col("a.file").alias("handler_file"))
+    leads = g.edges_of("routes_to").select("project_slug", F.col("source").alias("route_id"), F.lit(True).alias("leads")).distinct()
     rows = routes.join(mw, ["project_slug", "route_id"], "left").join(handler, ["project_slug", "route_id"], "left").join(effects, ["project_slug", "method_id"], "left")
-    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("middleware", "fires", "dispatches", "notifies", "views")]
-    return rows.select("project_slug", "route_id", "uri", "methods", "name", "handler", "handler_method", "handler_line", "form_request", *text)
+    rows = rows.join(leads, ["project_slug", "route_id"], "left").withColumn("handler_id", F.concat(F.lit("class:"), "handler"))
+    rows = rows.join(owners, ["project_slug", "handler_id"], "left").join(policies, ["project_slug", "handler_id"], "left")
+    kind = F.when(F.col("method_id").isNotNull(), "controller").when(F.col("leads").isNull(), F.nullif("action_kind", F.lit("")))
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("middleware", "fires", "dispatches", "notifies", "views", "policies")]
+    return rows.select("project_slug", "route_id", "uri", "methods", "name", "handler", "handler_method", "handler_line", "handler_file", kind.alias("handler_kind"), "form_request", *text)
 
 
 def listeners(g: Graph) -> DataFrame:

@@ -143,9 +143,9 @@ def test_empty_graph(spark):
 
 def test_call_trees_of_all_start_at_callers_no_route_leads_to(spark):
     g = make_graph(spark, [("route:r", "route", "r", {}), method("Routed", "a"), method("Job", "b"), method("Deep", "c")], [("route:r", "method:Routed::a", "routes_to"), ("method:Routed::a", "method:Deep::c", "calls"), ("method:Job::b", "method:Deep::c", "calls", {"line": 7})])
-    rows = {(r["root"], r["id"], r["depth"], r["call_site_line"]) for r in Q._call_trees_of_all(g).collect()}
+    rows = {(r["root"], r["id"], r["depth"], r["call_site_line"]) for r in Q._call_trees(g, "downstream").collect()}
     assert rows == {("method:Routed::a", "method:Deep::c", 1, None), ("method:Job::b", "method:Deep::c", 1, 7)}
-    assert "expand_call_tree_all" in Q.QUERIES and "expand_call_tree_all" in Q.ORACLE
+    assert "expand_call_tree" in Q.QUERIES and "expand_call_tree" in Q.ORACLE
 
 
 def test_full_bfs_goes_five_levels_deep_and_on_to_two_hundred_nodes(spark):
@@ -155,4 +155,4 @@ def test_full_bfs_goes_five_levels_deep_and_on_to_two_hundred_nodes(spark):
     rows = Q._bfs(make_graph(spark, nodes, edges)).collect()
     assert sorted((r["depth"], r["id"]) for r in rows if r["root"] == "route:deep") == [(0, "route:deep"), *enumerate(chain[:5], 1)]
     assert sorted(r["id"] for r in rows if r["root"] == "route:wide") == [*hub[:199], "route:wide"]
-    assert {"bfs_full"} <= set(Q.QUERIES) & set(Q.ORACLE)
+    assert {"bfs"} <= set(Q.QUERIES) & set(Q.ORACLE)
