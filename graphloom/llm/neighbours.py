@@ -283,24 +283,18 @@ def _searcher(k: int, least: float | None):
     return search
 
 
-def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with the vector packed."""
-    for batch in batches:
-        i = batch.schema.get_field_index("vec")
-        yield batch.set_column(i, "vec", pa.array([packed(np.frombuffer(v, np.float32)) for v in batch.column(i).to_pylist()], pa.binary()))
-
-
 def _normaliser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, id, vector) with the vector as the bytes of a float32 unit vector."""
+    """The rows with their vector scaled to unit length and packed."""
     for batch in batches:
-        column = batch.column("vector")
+        i = batch.schema.get_field_index("vec")
+        column = batch.column(i)
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         ends = np.cumsum(np.asarray([0, *column.value_lengths().to_pylist()]))
         vecs = []
         for a, b in zip(ends[:-1], ends[1:]):
             v = flat[a:b] / np.abs(flat[a:b]).max()  # keeps the square sum finite
-            vecs.append((v / np.sqrt(v @ v)).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("id"), pa.array(vecs, pa.binary())], names=["grp", "id", "vec"])
+            vecs.append(packed(v / np.sqrt(v @ v)))
+        yield batch.set_column(i, "vec", pa.array(vecs, pa.binary()))
 
 
 def expected_dimensions(vectors: DataFrame, configs: DataFrame) -> DataFrame:
@@ -312,7 +306,7 @@ def expected_dimensions(vectors: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def usable_vectors(vectors: DataFrame, configs: DataFrame) -> DataFrame:
-    """(grp, id, vec): one unit vector per (embedder_id, id), from the latest usable row.
+    """(grp, id, vec): one packed unit vector per (embedder_id, id), from the latest usable row.
 
     Usable: embedder and id known, the embedder's length, only finite numbers, not all zero. Equal times go to the greater
     vector hash; a null time is the oldest. Other columns are ignored.
@@ -322,9 +316,10 @@ def usable_vectors(vectors: DataFrame, configs: DataFrame) -> DataFrame:
     rows = rows.join(dims.select(F.col("embedder_id").alias("grp"), "dim"), "grp").where("size(vector) = dim")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(finite & F.exists("vector", lambda x: x != 0))
-    latest = Window.partitionBy("grp", "id").orderBy(F.col("embedded_at").desc_nulls_last(), F.xxhash64("vector").desc())
-    rows = rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select("grp", "id", "vector")
-    return rows.mapInArrow(_normaliser, "grp string, id string, vec binary")
+    at = dict(rows.dtypes)["embedded_at"]
+    rows = rows.select("grp", "id", "embedded_at", F.col("vector").alias("vec")).mapInArrow(_normaliser, f"grp string, id string, embedded_at {at}, vec binary")
+    latest = Window.partitionBy("grp", "id").orderBy(F.col("embedded_at").desc_nulls_last(), F.xxhash64("vec").desc())
+    return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select("grp", "id", "vec")
 
 
 def copy_classes(units: DataFrame, keep: int) -> DataFrame:
@@ -338,8 +333,7 @@ def copy_classes(units: DataFrame, keep: int) -> DataFrame:
 
 def partition_search(reps: DataFrame, p: Params, min_similarity: float | None = None) -> DataFrame:
     """(grp, q, c, sim): for each row of (grp, id, vec) up to k most similar others of its group."""
-    start = reps.select(F.col("grp").alias("cell"), F.lit(True).alias("member"), F.lit(p.probes).alias("probes"), F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"), "id", "vec")
-    rows = start.mapInArrow(_packer, ROWS)
+    rows = reps.select(F.col("grp").alias("cell"), F.lit(True).alias("member"), F.lit(p.probes).alias("probes"), F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"), "id", "vec")
     level, before = 0, None
     while True:
         stored = rows.where("member")
@@ -370,8 +364,8 @@ def partition_search(reps: DataFrame, p: Params, min_similarity: float | None =
 def most_similar(vectors: DataFrame, configs: DataFrame, min_similarity: float | None = None, params: Params = Params()) -> DataFrame:
     """(embedder_id, id, other, similarity): up to k most similar vectors of the same embedder for every usable vector.
 
-    Itself is left out; ties go to the smaller id. With ``min_similarity`` less similar ones are left out too. Vectors whose
-    bytes are equal after scaling to unit length are copies of one another. Of an embedder with one usable vector nothing
+    Itself is left out; ties go to the smaller id. With ``min_similarity`` less similar ones are left out too. Vectors that
+    are equal after scaling and packing are copies of one another. Of an embedder with one usable vector nothing
     comes out; empty tables give an empty result.
     """
     k = params.k
