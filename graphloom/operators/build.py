@@ -27,7 +27,7 @@ source string, kinds array<string>, name string, short_name string, namespace st
 parent string, interfaces array<string>, interfaces_inherited array<string>, traits array<string>,
 methods array<struct<name: string, visibility: string, static: boolean, abstract: boolean, final: boolean, return_type: string, line: int,
   parameters: array<struct<name: string, type: string, optional: boolean, variadic: boolean>>>>,
-cases array<struct<name: string, value: string>>, uri string, verbs array<string>, domain string, middleware array<string>,
+cases array<struct<name: string, value: string>>, uri string, verbs array<string>, domain string, wheres map<string, string>, route_parameters array<string>, middleware array<string>,
 action struct<kind: string, controller: string, method: string>, event string,
 listeners array<struct<place: int, kind: string, class: string, method: string, file: string, line: int, queued: boolean, source: string>>,
 ability string, model string, policy string, alias string, class string, method string, abstract string, shared boolean,
@@ -70,6 +70,13 @@ def _maps(value) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+def _names(value) -> list[str]:
+    """The texts of a list, or the names of its objects."""
+    value = nested.unwrap(value)
+    found = [x.get("name") if isinstance(x, dict) else x for x in value] if isinstance(value, list) else []
+    return [x for x in found if isinstance(x, str)]
+
+
 def regular_items(body) -> Iterator[tuple[str, int, dict]]:
     """(section, place, entry) of every entry of one document, in one spelling."""
     get, places = nested._get, nested.places
@@ -83,7 +90,7 @@ def regular_items(body) -> Iterator[tuple[str, int, dict]]:
     routes = get(routes, "items") if isinstance(routes, dict) and "items" in routes else routes
     for pos, r in enumerate(routes if isinstance(routes, list) else []):
         if isinstance(r, dict):
-            yield "route", pos, r | {"verbs": r.get("methods"), "methods": None, "action": _maps(r.get("action"))}
+            yield "route", pos, r | {"verbs": r.get("methods"), "methods": None, "action": _maps(r.get("action")), "wheres": _maps(r.get("wheres")), "route_parameters": _names(r.get("parameters"))}
     for section, kind in (("listeners", "event"), ("wildcards", "wildcard")):
         for pos, key, entry in places(get(get(s, "events"), section), "event"):
             named = isinstance(entry, dict) and nested.ALONE["event"] & entry.keys()
@@ -113,24 +120,47 @@ def regular_items(body) -> Iterator[tuple[str, int, dict]]:
             yield "finding", pos, f | {"meta": _maps(f.get("meta"))}
 
 
+#: Levels of an entry that are kept; PAYLOAD names none below the seventh, and the JSON reader of the JVM ends at the thousandth.
+LEVELS = 12
+
+
+def shallower(value, levels: int = LEVELS):
+    """A value without the containers that lie deeper than ``levels``."""
+    if isinstance(value, dict):
+        return {k: shallower(v, levels - 1) for k, v in value.items()} if levels else None
+    if isinstance(value, list):
+        return [shallower(v, levels - 1) for v in value] if levels else None
+    return value
+
+
+def _stated_version(bodies: pd.Series) -> pd.Series:
+    """The schema_version a body states, empty if none; null for a body that cannot be read. Depth does not matter."""
+    out: list[str | None] = []
+    for text in bodies:
+        try:
+            body = nested.unwrap(nested.read_json(text))
+            version = body.get("schema_version") if isinstance(body, dict) else None
+            out.append("" if version is None or isinstance(version, (dict, list)) else str(version))
+        except nested.Unreadable:
+            out.append(None)
+    return pd.Series(out, dtype=object)
+
+
 def _itemise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for slug, text in zip(batch["project_slug"], batch["body"]):
             try:
-                out += [(slug, section, pos, json.dumps(entry)) for section, pos, entry in regular_items(nested.unwrap(nested.read_json(text)))]
-            except (nested.Unreadable, RecursionError):
+                out += [(slug, section, pos, nested.canonical(shallower(entry))) for section, pos, entry in regular_items(nested.unwrap(nested.read_json(text)))]
+            except nested.Unreadable:
                 continue
         yield pd.DataFrame(out, columns=["project_slug", "section", "ord", "payload"])
 
 
 def current_documents(docs: DataFrame) -> DataFrame:
     """The latest readable document of each project (schema major version 2 where one is given); it replaces all earlier ones."""
-    body = F.regexp_replace("body", "^﻿+", "")
-    parsed = F.try_parse_json(body)
-    version = F.try_variant_get(parsed, "$.schema_version", "string")
-    rows = docs.where("project_slug IS NOT NULL").select("project_slug", "document_id", "received_at", body.alias("body"))
-    rows = rows.where(parsed.isNotNull() & F.coalesce(version.startswith("2."), F.lit(True)))
+    rows = docs.where("project_slug IS NOT NULL").select("project_slug", "document_id", "received_at", "body", F.pandas_udf(_stated_version, "string")("body").alias("version"))
+    rows = rows.where((F.col("version") == "") | F.col("version").startswith("2."))
     w = Window.partitionBy("project_slug").orderBy(F.col("received_at").desc_nulls_last(), F.col("document_id").desc())
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("project_slug", "body")
 
@@ -233,7 +263,7 @@ def build_graph(docs: DataFrame, custom_bases: dict[str, str] | None = None) ->
     )
     nodes = (
         F.when(is_("class"), class_nodes)
-        .when(is_("route") & F.col("p.uri").isNotNull(), F.array(_node(route, "route", F.col("p.uri"), methods=F.col("p.verbs"), action_kind=F.col("p.action.kind"), **p("uri", "name", "domain"))))
+        .when(is_("route") & F.col("p.uri").isNotNull(), F.array(_node(route, "route", F.col("p.uri"), methods=F.col("p.verbs"), action_kind=F.col("p.action.kind"), wheres=F.col("p.wheres"), parameters=F.col("p.route_parameters"), **p("uri", "name", "domain"))))
         .when(is_("event") | is_("wildcard"), event_nodes)
         .when(is_("gate") & F.col("p.ability").isNotNull(), F.array(_node(_id("gate:", F.col("p.ability")), "gate", F.col("p.ability"), callback_kind=F.col("p.kind"), callback_class=F.col("p.class"), callback_method=F.col("p.method"))))
         .when(is_("policy") & F.col("p.policy").isNotNull(), F.array(_node(_id("policy:", F.col("p.policy")), "policy", F.col("p.policy"), **p("model", "policy"))))

@@ -2,6 +2,7 @@ import json
 
 from graphloom.operators import build as B
 from graphloom.operators import graph as G
+from graphloom.operators import nested as N
 from graphloom.plans import tools as T
 
 SCHEMA = "document_id bigint, project_slug string, received_at timestamp, body string, kind string"
@@ -109,3 +110,12 @@ def test_carry_forward(spark):
 def test_empty_table(spark):
     b = B.build_graph(spark.createDataFrame([], SCHEMA))
     assert b.nodes.count() == b.edges.count() == b.warnings.count() == 0
+
+
+def test_deep_bodies_are_built(spark):
+    deep = '{"x": ' * 5000 + "1" + "}" * 5000
+    body = '{"schema_version": "2.6.0", "other": %s, "sections": {"classes": {"items": [{"kinds": [], "reflection": {"name": "A\\\\B", "attributes": %s}}]}}}' % (deep, deep)
+    docs = spark.createDataFrame([(1, "p", None, body, "")], SCHEMA)
+    assert [r["id"] for r in B.build_graph(docs).nodes.collect()] == ["class:A\\B"]
+    items = list(B.regular_items(N.read_json(body)))
+    assert B.shallower({"a": [{"b": 1}]}, 2) == {"a": [None]} and len(items) == 1
