@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,41 +31,75 @@ def _blocks(rows: DataFrame, counts: DataFrame, own: str, other: str, block: int
     return at.withColumn("mine", F.pmod(F.xxhash64("id"), n_own).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), n_other - 1)))
 
 
-def block_top_k(index: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, block: int = 8_192) -> DataFrame:
-    """(grp, qid, id, score): the exact k most similar rows of (grp, id, vec) for each query of (grp, id, vec) of its group.
+def _usable(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame[frame["vec"].map(lambda v: v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(np.any(v)))]
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_list()).astype(np.float64)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _nearest(x: np.ndarray, qids: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """(qid, id, score): per query the k best and what equals the last of them when rounded."""
+    out = []
+    for lo in range(0, len(x), 256):
+        s = x[lo : lo + 256] @ y.T
+        least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(s), -2.0)
+        row, column = np.nonzero(s >= least[:, None] - 1e-6)
+        out.append(pd.DataFrame({"qid": qids[lo + row], "id": ids[column], "score": s[row, column]}))
+    return pd.concat(out)
+
 
-    Both sides are cut into blocks by size, and one task compares one pair of blocks, whatever the size of a group. Vectors of
-    another length than the query's, null ones and those without direction never match. Ties go to the smaller id.
+#: Queries up to this many, and this many numbers in them, are sent to the index instead of being met by it in blocks.
+FEW_QUERIES, FEW_NUMBERS = 4_000, 2_000_000
+
+
+def block_top_k(index: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, block: int = 8_192, few: int = FEW_QUERIES) -> DataFrame:
+    """(grp, qid, id, score, rank): the exact k most similar rows of (grp, id, vec) for each query of (grp, id, vec) of its group.
+
+    A proven small number of queries goes to all tasks and the index is not moved at all: each task keeps its best and those are
+    merged. Beyond it both sides are cut into blocks by size, and one task compares one pair of blocks, whatever the size of a
+    group. Vectors of another length than the query's, null ones and those without direction never match. Ties go to the smaller id.
     """
-    counts = index.groupBy("grp").agg(F.count("*").alias("n_index")).join(queries.groupBy("grp").agg(F.count("*").alias("n_query")), "grp")
-    i = _blocks(index.select("grp", "id", "vec"), counts, "n_index", "n_query", block).select("grp", F.col("mine").alias("ib"), F.col("theirs").alias("qb"), F.lit(False).alias("is_query"), "id", "vec")
-    q = _blocks(queries.select("grp", "id", "vec"), counts, "n_query", "n_index", block).select("grp", F.col("theirs").alias("ib"), F.col("mine").alias("qb"), F.lit(True).alias("is_query"), "id", "vec")
     kind = index.schema["id"].dataType.simpleString()
-
-    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        frame = frame[frame["vec"].map(lambda v: v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(np.any(v)))]
-        for _, same in frame.groupby(frame["vec"].map(len)):
-            ask, have = same[same["is_query"]], same[~same["is_query"]].sort_values("id")
-            if not len(ask) or not len(have):
-                continue
-            unit = lambda v: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.stack(v.to_list()).astype(np.float64))
-            x, y, ids, qids = unit(ask["vec"]), unit(have["vec"]), have["id"].to_numpy(), ask["id"].to_numpy()
-            for lo in range(0, len(x), 256):
-                s = x[lo : lo + 256] @ y.T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k] if len(ids) <= 4 * k else None
-                if best is None:
-                    least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-                    best = [np.flatnonzero(row >= t - 1e-12) for row, t in zip(s, least)]
-                for j, cols in enumerate(best):
-                    out.append(pd.DataFrame({"qid": qids[lo + j], "id": ids[cols], "score": s[j, cols]}))
-        found = pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype=object), "id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
-        if min_score is not None:
-            found = found[found["score"] >= min_score]
-        found.insert(0, "grp", key[0])
-        return found
-
-    found = i.unionByName(q).groupBy("grp", "qb", "ib").applyInPandas(search, f"grp string, qid {kind}, id {kind}, score double")
+    schema = f"grp string, qid {kind}, id {kind}, score double"
+    size = queries.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")).first()
+    if size["rows"] <= few and size["numbers"] <= FEW_NUMBERS:
+        asked = _usable(queries.select("grp", "id", "vec").toPandas())
+        groups = {key: (_unit(g["vec"]), g["id"].to_numpy()) for key, g in asked.groupby([asked["grp"], asked["vec"].map(len)])} if len(asked) else {}
+        shared = index.sparkSession.sparkContext.broadcast(groups)
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch = _usable(batch[batch["grp"].isin({grp for grp, _ in shared.value})])
+                if len(batch):
+                    for key, have in batch.groupby([batch["grp"], batch["vec"].map(len)]):
+                        if key in shared.value:
+                            found = _nearest(*shared.value[key], _unit(have["vec"]), have["id"].to_numpy(), k)
+                            found.insert(0, "grp", key[0])
+                            yield found
+
+        found = index.select("grp", "id", "vec").mapInPandas(near, schema)
+    else:
+        counts = index.groupBy("grp").agg(F.count("*").alias("n_index")).join(queries.groupBy("grp").agg(F.count("*").alias("n_query")), "grp")
+        i = _blocks(index.select("grp", "id", "vec"), counts, "n_index", "n_query", block).select("grp", F.col("mine").alias("ib"), F.col("theirs").alias("qb"), F.lit(False).alias("is_query"), "id", "vec")
+        q = _blocks(queries.select("grp", "id", "vec"), counts, "n_query", "n_index", block).select("grp", F.col("theirs").alias("ib"), F.col("mine").alias("qb"), F.lit(True).alias("is_query"), "id", "vec")
+
+        def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"qid": pd.Series(dtype=object), "id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
+            frame = _usable(frame)
+            for _, same in frame.groupby(frame["vec"].map(len)):
+                ask, have = same[same["is_query"]], same[~same["is_query"]]
+                if len(ask) and len(have):
+                    out.append(_nearest(_unit(ask["vec"]), ask["id"].to_numpy(), _unit(have["vec"]), have["id"].to_numpy(), k))
+            found = pd.concat(out[1:] or out)
+            found.insert(0, "grp", key[0])
+            return found
+
+        found = i.unionByName(q).groupBy("grp", "qb", "ib").applyInPandas(search, schema)
+    if min_score is not None:
+        found = found.where(F.col("score") >= min_score)
     found = found.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("grp", "qid").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import build, graph
 from graphloom.plans import tools
+from graphloom.plans.pipeline import _NESTED, _unwrapped
 from graphloom.session import table
 
 
@@ -53,7 +54,22 @@ def enclosing_calls(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (build_nodes, build_edges, build_warnings, resolve_binding, list_scheduled_tasks, built_listeners, enclosing_calls)}
 
+# The entries of the latest readable document of each project; ``document_id`` holds the project.
+_CURRENT = f"""
+docs AS (
+  SELECT project_slug AS document_id, {_unwrapped("j")} AS j FROM (
+    SELECT *, row_number() OVER (PARTITION BY project_slug ORDER BY received_at DESC NULLS LAST, document_id DESC) AS n FROM (
+      SELECT *, TRY_CAST(ltrim(body, chr(65279)) AS JSON) AS j FROM reflections WHERE project_slug IS NOT NULL)
+    WHERE j IS NOT NULL AND starts_with(coalesce(j->>'$.schema_version', '2.'), '2.'))
+  WHERE n = 1),
+parts AS""" + _NESTED.split("parts AS", 1)[1]
+
 ORACLE = {
+    "resolve_binding": f"""
+WITH {_CURRENT},
+b AS (SELECT * FROM (SELECT *, {_unwrapped("concrete")} AS c, row_number() OVER (PARTITION BY document_id, abstract ORDER BY parent_pos) AS n FROM bindings) WHERE n = 1 AND abstract IS NOT NULL)
+SELECT document_id AS project_slug, abstract, CASE json_type(c) WHEN 'VARCHAR' THEN c->>'$' ELSE c->>'$.class' END AS concrete_class, CASE json_type(c) WHEN 'VARCHAR' THEN 'class' ELSE c->>'$.kind' END AS concrete_kind,
+       coalesce(TRY_CAST(shared AS BOOLEAN), false) AS shared, CASE WHEN json_type(c) = 'OBJECT' THEN c->>'$.file' END AS file, CASE WHEN json_type(c) = 'OBJECT' THEN TRY_CAST(c->>'$.line' AS INT) END AS line FROM b""",
     "enclosing_calls": """
 WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_slug, id ORDER BY kind NULLS FIRST, name NULLS FIRST, attributes NULLS FIRST) AS r FROM nodes) WHERE r = 1),
 c AS (SELECT project_slug, id, attributes->>'$.file' AS file FROM n WHERE starts_with(id, 'class:')),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import retrieval, text
-from graphloom.session import table
+from graphloom.session import table, written
 
 
 def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     """Stored vectors whose id, read as a number, is divisible by 20 as queries, against all of their project and embedder."""
-    vectors = retrieval.latest_vectors(table(spark, d, "vectors"))
+    vectors = written(retrieval.latest_vectors(table(spark, d, "vectors")))
     head, tail = (F.conv(x, 16, 10).cast("long") for x in (F.substr("id", F.lit(1), F.lit(10)), F.substr("id", F.lit(11))))  # 16^6 leaves 16
     queries = vectors.where((head % 20 * 16 + tail) % 20 == 0)
     return retrieval.semantic_search(G.load_graph(spark, d), vectors, queries)

@@ -78,13 +78,13 @@ def test_embedding_uses_the_cache(spark):
     assert got[3] == [1.0] * 8 and np.allclose(got[1], e.embed(["a b"])[0]) and got[1] == got[2] and fresh.count() == 2 and not calls
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_top_k_matches_brute_force_with_ties(spark, block):
+@pytest.mark.parametrize("block, few", [(3, 0), (1000, 0), (3, 4_000)])
+def test_top_k_matches_brute_force_with_ties(spark, block, few):
     rng = np.random.default_rng(0)
     x = rng.integers(-2, 3, (60, 4)).astype(float)
     rows = [("g" if i % 2 else "h", i, [float(v) for v in x[i]]) for i in range(60)] + [("g", 100, None), ("g", 101, [1.0]), ("g", 102, [float("nan")] * 4)]
     df = spark.createDataFrame(rows, "grp string, id int, vec array<double>")
-    got = {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in R.block_top_k(df, df.where("id % 10 = 1"), 7, block=block).collect()}
+    got = {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in R.block_top_k(df, df.where("id % 10 = 1"), 7, block=block, few=few).collect()}
     unit = lambda v: v / np.linalg.norm(v)
     for q in range(1, 60, 10):
         if not x[q].any():
