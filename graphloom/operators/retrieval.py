@@ -40,6 +40,14 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _grouped(frame: pd.DataFrame) -> dict[tuple[str, int], pd.DataFrame]:
+    """The rows by group and length of vector. Not by pandas, whose hashing of text ends at a NUL character."""
+    places: dict[tuple[str, int], list[int]] = {}
+    for i, key in enumerate(zip(frame["grp"].tolist(), map(len, frame["vec"]))):
+        places.setdefault(key, []).append(i)
+    return {key: frame.iloc[rows] for key, rows in places.items()}
+
+
 def _nearest(x: np.ndarray, qids: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """(qid, id, score): per query the k best and what equals the last of them when rounded."""
     out = []
@@ -67,18 +75,16 @@ def block_top_k(index: DataFrame, queries: DataFrame, k: int, min_score: float |
     size = queries.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")).first()
     if size["rows"] <= few and size["numbers"] <= FEW_NUMBERS:
         asked = _usable(queries.select("grp", "id", "vec").toPandas())
-        groups = {key: (_unit(g["vec"]), g["id"].to_numpy()) for key, g in asked.groupby([asked["grp"], asked["vec"].map(len)])} if len(asked) else {}
+        groups = {key: (_unit(g["vec"]), g["id"].to_numpy()) for key, g in _grouped(asked).items()}
         shared = index.sparkSession.sparkContext.broadcast(groups)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                batch = _usable(batch[batch["grp"].isin({grp for grp, _ in shared.value})])
-                if len(batch):
-                    for key, have in batch.groupby([batch["grp"], batch["vec"].map(len)]):
-                        if key in shared.value:
-                            found = _nearest(*shared.value[key], _unit(have["vec"]), have["id"].to_numpy(), k)
-                            found.insert(0, "grp", key[0])
-                            yield found
+                for key, have in _grouped(_usable(batch)).items():
+                    if key in shared.value:
+                        found = _nearest(*shared.value[key], _unit(have["vec"]), have["id"].to_numpy(), k)
+                        found.insert(0, "grp", key[0])
+                        yield found
 
         found = index.select("grp", "id", "vec").mapInPandas(near, schema)
     else:

@@ -95,6 +95,13 @@ def test_top_k_matches_brute_force_with_ties(spark, block, few):
     assert [None if r["c"] is None else round(r["c"], 6) for r in c] == [0.707107, None, None]
 
 
+@pytest.mark.parametrize("few", [0, 4_000])
+def test_top_k_keeps_groups_apart_that_differ_behind_a_nul(spark, few):
+    df = spark.createDataFrame([(f"p\0{e}", 10 * e + i, [1.0, float(i)]) for e in (1, 2) for i in range(3)], "grp string, id int, vec array<double>")
+    rows = R.block_top_k(df, df.where("id % 10 = 0"), 5, few=few).collect()
+    assert sorted((r["qid"], r["id"]) for r in rows) == [(q, q + i) for q in (10, 20) for i in range(3)]
+
+
 def test_semantic_search_reranks_and_counts(spark):
     g = make_graph(spark, [method("C", "m"), ("class:K", "class", "K", {"fqn": "K"})], [])
     schema = "id string, project_slug string, embedder_id string, vector array<float>, payload struct<node_id: string>, embedded_at timestamp"
