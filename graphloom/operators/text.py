@@ -72,6 +72,19 @@ def read_block(files: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def snippets(hits: DataFrame, files: DataFrame, snippet_lines: int = 30, context_lines: int = 2) -> DataFrame:
+    """``hits`` (file_path, start_line, end_line and any others) with ``snippet``: their lines and a few around, cut after ``snippet_lines``.
+
+    Null where the file (file_path, text) is not known or the hit names no lines; empty where the file ends before it.
+    """
+    texts = files.select(F.col("file_path").alias("_path"), F.col("text").alias("_text"))
+    lines = F.when(F.col("_text") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("_text", r"\r?\n\z", ""), r"\r?\n"))
+    first = F.greatest(F.lit(1), F.col("start_line") - context_lines)
+    size = F.least(F.lit(snippet_lines), F.least(F.size("_lines"), F.col("end_line") + context_lines) - first + 1)
+    found = F.when(F.col("_text").isNotNull() & F.col("start_line").isNotNull() & F.col("end_line").isNotNull(), F.when(size > 0, F.array_join(F.slice("_lines", first, size), "\n")).otherwise(""))
+    return hits.join(texts, F.col("file_path") == F.col("_path"), "left").withColumn("_lines", lines).select(*[F.col(f"`{c}`") for c in hits.columns], found.alias("snippet"))
+
+
 def node_bodies(g: G.Graph, chunks: DataFrame) -> DataFrame:
     """The source of each node: its first chunk (by file and position) of the latest index, the node's own file preferred."""
     c = latest_chunks(chunks).where("node_id IS NOT NULL AND text IS NOT NULL")

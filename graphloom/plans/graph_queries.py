@@ -59,6 +59,7 @@ QUERIES = {
     "cache_keys_matching": _on_graph(lambda g: T.cache_keys_matching(g, "*.list")),
     "expand_call_tree": _on_graph(lambda g: _call_trees(g, "downstream")),
     "expand_call_tree_upstream": _on_graph(lambda g: _call_trees(g, "upstream")),
+    "call_tree_limits": _on_graph(lambda g: T.call_tree_limits(g, g.edges_of("calls").select("project_slug", F.col("source").alias("root")))),
     "bfs": _on_graph(_bfs),
     "dangling_edges": _on_graph(_dangling),
 }
@@ -212,6 +213,13 @@ FROM f LEFT JOIN m ON m.project_slug = f.project_slug AND m.bare = regexp_replac
     "cache_keys_matching": f"WITH {_N} SELECT DISTINCT project_slug, name AS key FROM n WHERE kind = 'cache_key' AND regexp_matches(name, '(?s)^.*\\.list$')",
     "expand_call_tree": _tree("calls", "source", "target", "source"),
     "expand_call_tree_upstream": _tree("calls", "target", "source"),
+    "call_tree_limits": f"""WITH {_N}, t AS ({_tree("calls", "source", "target", "source")}),
+r AS (SELECT DISTINCT e.project_slug, e.source AS root FROM e JOIN n ON n.project_slug = e.project_slug AND n.id = e.source WHERE e.kind = 'calls'),
+v AS (SELECT project_slug, root, id, depth FROM t UNION ALL SELECT project_slug, root, root, 0 FROM r),
+m AS (SELECT DISTINCT v.project_slug, v.root FROM v JOIN out o ON o.project_slug = v.project_slug AND o.source = v.id AND o.kind = 'calls'
+      WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.project_slug = v.project_slug AND w.root = v.root AND w.id = o.target))
+SELECT v.project_slug, v.root, count(*) - 1 AS nodes, CASE WHEN count(*) - 1 >= 200 THEN 'max_nodes' WHEN max(depth) >= 3 AND bool_or(m.root IS NOT NULL) THEN 'max_depth' END AS truncated_reason
+FROM v LEFT JOIN m ON m.project_slug = v.project_slug AND m.root = v.root GROUP BY ALL""",
     "bfs": _bfs_sql(5, 200),
     "get_request_flow": f"""WITH {_N}, {_LISTENERS},
 f AS (SELECT DISTINCT h.project_slug, h.route_id, {_BARE.format('o.target')} AS event, o.tname AS event_name FROM hh h JOIN out o ON o.project_slug = h.project_slug AND o.source = h.method_id AND o.kind = 'fires'),

@@ -48,6 +48,13 @@ def get_full_block(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_path", "start_line", "end_line", "line_count", "total_file_lines", F.sha2("content", 256).alias("digest"), "truncated_to_eof", "stale", "error_code")
 
 
+def search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The snippet of a hit in lines 4 to 50 of every document, read as a file."""
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")
+    hits = files.select("file_path", F.lit(4).alias("start_line"), F.lit(50).alias("end_line"))
+    return text.snippets(hits, files).select("file_path", F.length("snippet").alias("length"), F.sha2("snippet", 256).alias("digest"))
+
+
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     c = text.latest_chunks(table(spark, d, "chunks"))
     return c.select("id", text.chunk_id(F.col("file_path"), F.col("start_byte"), F.col("end_byte")).alias("computed"), text.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"), (F.col("end_byte") - F.col("start_byte")).alias("byte_length"), (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
@@ -91,12 +98,16 @@ def embedding_cost(spark: SparkSession, d: str) -> DataFrame:
     return text.embedding_cost(table(spark, d, "chunks").where("text IS NOT NULL").select(F.octet_length("text").alias("n")), "n", 0.02)
 
 
-QUERIES = {f.__name__: f for f in (vector_top_k, semantic_search, search_annotations, chunk_documents, get_node_body, get_full_block, chunk_ids, enriched_chunks, source_chunks, embedding_cache, embedded_documents, orphan_vectors, vector_upsert, embedding_cost)}
+QUERIES = {f.__name__: f for f in (vector_top_k, semantic_search, search_annotations, chunk_documents, get_node_body, get_full_block, search_snippets, chunk_ids, enriched_chunks, source_chunks, embedding_cache, embedded_documents, orphan_vectors, vector_upsert, embedding_cost)}
 
 _N = "n AS (SELECT project_slug, id, kind, name, attributes AS a FROM (SELECT *, row_number() OVER (PARTITION BY project_slug, id ORDER BY kind NULLS FIRST, name NULLS FIRST, attributes NULLS FIRST) AS r FROM nodes) WHERE r = 1)"
 _WEIGHT = "CASE WHEN n.kind IS NULL THEN 0.9 " + " ".join(f"WHEN n.kind = '{k}' THEN {w}" for k, w in retrieval.KIND_WEIGHTS.items()) + " ELSE 1.0 END"
 
 ORACLE = {
+    "search_snippets": """
+WITH l AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(regexp_replace(text, '\\r?\\n$', ''), '\\r?\\n') END AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(l[2:31], chr(10)) END AS s FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS file_path, length(s)::INT AS length, sha256(s) AS digest FROM s""",
     "vector_top_k": """
 WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 p AS (SELECT q.id AS qid, v.id, round(list_cosine_similarity(q.vec, v.vec), 6) AS score FROM v q, v WHERE q.id % 20 = 0)

@@ -363,6 +363,27 @@ def expand_call_tree(g: Graph, roots: DataFrame, direction: str = "downstream",
     return found.join(node, ["project_slug", "id"]).join(sites, "edge_seq", "left").select("project_slug", "root", "rank", "id", "class_fqn", "method", "line", "depth", "via", "call_site_file", "call_site_line")
 
 
+def call_tree_limits(g: Graph, roots: DataFrame, direction: str = "downstream", max_depth: int = 3, max_nodes: int = 200) -> DataFrame:
+    """(project_slug, root, nodes, truncated_reason) per root: how many nodes its tree reports, and which bound kept others out.
+
+    ``max_nodes`` if the tree is full; else ``max_depth`` if a node at the last level was reached and some node of the tree has a
+    neighbour outside it; null for a whole tree.
+    """
+    ends = ("source", "target") if direction == "downstream" else ("target", "source")
+    per = ["project_slug", "root"]
+    known = g.nodes.select("project_slug", "id")
+    asked = roots.select(*per).distinct().join(known.withColumnRenamed("id", "root"), per, "left_semi")
+    tree = expand_call_tree(g, roots, direction, max_depth, max_nodes).select(*per, "id", "depth")
+    tree = tree.unionByName(asked.select(*per, F.col("root").alias("id"), F.lit(0).alias("depth")))
+    steps = g.edges_of("calls").select("project_slug", F.col(ends[0]).alias("id"), F.col(ends[1]).alias("next"))
+    steps = steps.join(known.withColumnRenamed("id", "next"), ["project_slug", "next"], "left_semi").distinct()
+    beyond = tree.join(steps, ["project_slug", "id"]).select(*per, F.col("next").alias("id")).distinct().join(tree, [*per, "id"], "left_anti")
+    beyond = beyond.groupBy(*per).agg(F.lit(True).alias("more"))
+    size = tree.groupBy(*per).agg((F.count("*") - 1).alias("nodes"), F.max("depth").alias("deepest"))
+    reason = F.when(F.col("nodes") >= max_nodes, "max_nodes").when((F.col("deepest") >= max_depth) & F.col("more"), "max_depth")
+    return size.join(beyond, per, "left").select(*per, "nodes", reason.alias("truncated_reason"))
+
+
 def describe_flow(g: Graph, query: str, max_candidates: int = 10) -> DataFrame:
     """Routes that fit a loose description, best first per project; ``winner`` marks an unambiguous one."""
     low = query.lower().lstrip("/")

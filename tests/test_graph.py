@@ -156,3 +156,13 @@ def test_full_bfs_goes_five_levels_deep_and_on_to_two_hundred_nodes(spark):
     assert sorted((r["depth"], r["id"]) for r in rows if r["root"] == "route:deep") == [(0, "route:deep"), *enumerate(chain[:5], 1)]
     assert sorted(r["id"] for r in rows if r["root"] == "route:wide") == [*hub[:199], "route:wide"]
     assert {"bfs"} <= set(Q.QUERIES) & set(Q.ORACLE)
+
+
+def test_what_bounds_a_call_tree(spark):
+    chain = [f"c{i}" for i in range(6)]
+    nodes = [(i, "method", i, {}) for i in [*chain, "wide", "x", "y", "z", "loop"]]
+    edges = [(a, b, "calls") for a, b in zip(chain, chain[1:])] + [("wide", i, "calls") for i in ("x", "y", "z")] + [("loop", "loop", "calls"), ("x", "gone", "calls")]
+    g = make_graph(spark, nodes, edges)
+    roots = spark.createDataFrame([("p", i) for i in ("c0", "c2", "wide", "loop", "x", "absent")], "project_slug string, root string")
+    assert {(r["root"], r["nodes"], r["truncated_reason"]) for r in T.call_tree_limits(g, roots).collect()} == {("c0", 3, "max_depth"), ("c2", 3, None), ("wide", 3, None), ("loop", 0, None), ("x", 0, None)}
+    assert {(r["root"], r["truncated_reason"]) for r in T.call_tree_limits(g, roots, max_nodes=3).collect() if r["nodes"]} == {("c0", "max_nodes"), ("c2", "max_nodes"), ("wide", "max_nodes")}

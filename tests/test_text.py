@@ -117,3 +117,10 @@ def test_upsert_delete_and_orphans(spark):
     old, new = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], t), spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 0)], t)
     assert sorted(tuple(r) for r in R.upsert(old, new, ["id"], "at").collect()) == [("a", 1, 0), ("b", 3, 2), ("c", 4, 0)]
     assert [r["id"] for r in R.delete_ids(old, new, ["id"]).collect()] == ["a"] == [r["id"] for r in R.orphans(old, new, ["id"]).collect()]
+
+
+def test_snippets(spark):
+    files = spark.createDataFrame([("a", "1\n2\r\n3\n4\n5\n6\n7\n"), ("e", ""), ("n", None)], "file_path string, text string")
+    hits = spark.createDataFrame([("a", 4, 4, "k"), ("a", 1, 9, "k"), ("a", 30, 31, "k"), ("a", None, 2, "k"), ("e", 1, 1, "k"), ("n", 1, 1, "k"), ("m", 1, 1, "k"), (None, 1, 1, "k")], "file_path string, start_line int, end_line int, text string")
+    got = {(r["file_path"], r["start_line"]): r["snippet"] for r in T.snippets(hits, files, snippet_lines=5).collect()}
+    assert got == {("a", 4): "2\n3\n4\n5\n6", ("a", 1): "1\n2\n3\n4\n5", ("a", 30): "", ("a", None): None, ("e", 1): "", ("n", 1): None, ("m", 1): None, (None, 1): None}
