@@ -144,7 +144,8 @@ class CommitLog:
     """Manifests ``<root>/_commits/<seq>.json``; the newest one is the state.
 
     The root must lie on a file system that creates a name only if it is free: a local disk (a hard link) or one of the HDFS
-    kind (a rename that does not overwrite). Object stores are refused.
+    kind (a rename that does not overwrite, which is also what a disk without links gets, there without the guarantee). Object
+    stores are refused.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -177,6 +178,17 @@ class CommitLog:
         names = self._names()
         return self._load(names[-1]) if names else None
 
+    @staticmethod
+    def _linked(aside: str, target: str) -> bool:
+        """Whether the name was given by a hard link; False where the disk knows none, FileExistsError if the name is taken."""
+        try:
+            os.link(aside, target)
+            return True
+        except FileExistsError:
+            raise
+        except OSError:
+            return False
+
     def publish(self, commit: Commit) -> None:
         """Write the manifest aside, then give it its name in one step that fails if the name is taken."""
         target, aside = f"{self.root}/_commits/{commit.seq:012d}.json", f"{self.root}/_staging/{uuid.uuid4().hex}.json"
@@ -185,9 +197,7 @@ class CommitLog:
         stream.write(bytearray(json.dumps(commit.__dict__).encode()))
         stream.close()
         try:
-            if self._scheme == "file":
-                os.link(urlparse(aside).path, urlparse(target).path)
-            else:
+            if self._scheme != "file" or not self._linked(urlparse(aside).path, urlparse(target).path):
                 jvm = self.spark.sparkContext._jvm
                 never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
                 jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._path(aside), self._path(target), never)

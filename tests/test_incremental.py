@@ -101,6 +101,17 @@ def test_late_visible_changes_and_only_new_files(spark, tmp_path):
     assert read == [1, 1, 1, 0]
 
 
+@pytest.mark.parametrize("links", [True, False])
+def test_a_number_is_published_once(spark, tmp_path, monkeypatch, links):
+    if not links:
+        monkeypatch.setattr(I.CommitLog, "_linked", staticmethod(lambda aside, target: False))
+    log = I.CommitLog(spark, f"file://{tmp_path}/log")
+    log.publish(I.Commit(1, "a", "b"))
+    with pytest.raises(RuntimeError, match="another run"):
+        log.publish(I.Commit(1, "c", "d"))
+    assert log.last() == I.Commit(1, "a", "b") and len(log.commits()) == 1
+
+
 def test_states_are_merged(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(I, "COMPACT_AFTER", 2)
     log = I.CommitLog(spark, f"file://{tmp_path}/log")
