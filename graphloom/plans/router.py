@@ -78,11 +78,11 @@ def pattern(phrase: str) -> str:
     return r"(?i)(?<!\S)" + (out if phrase.endswith("}") else out + r"(?!\w)")
 
 
-def _group(q: Column, phrase: str, name: str) -> Column:
-    """What the group takes where the phrase first occurs, else null."""
+def _group(phrase: str, name: str) -> str:
+    """SQL for what the group takes where the phrase first occurs in ``_q``, else null."""
     order = re.findall(r"\?<(verb|arg)>", pattern(phrase))
     plain = re.sub(r"\?<(?:verb|arg)>", "", pattern(phrase))
-    return F.nullif(F.regexp_extract(q, plain, order.index(name) + 1), F.lit("")) if name in order else F.lit(None).cast("string")
+    return f"nullif(regexp_extract(_q, r'{plain}', {order.index(name) + 1}), '')" if name in order else "CAST(NULL AS STRING)"
 
 
 def _bare(c: Column) -> Column:
@@ -146,30 +146,28 @@ def route(questions: DataFrame, query: str = "query") -> DataFrame:
     rows = questions.select(F.struct(*[F.col(f"`{c}`") for c in questions.columns]).alias("_row")).withColumn("_q", q)
     rows = rows.withColumn("_words", F.transform(F.split("_q", r"\s+"), lambda w: F.regexp_replace(w, CLINGING, "")))
     rows = rows.withColumn("_lower", F.transform("_words", lambda w: F.lower(w)))
-    taken = {f"_t{i}": F.coalesce(*[_group(F.col("_q"), p, "arg") for p in x.phrases]) for i, x in enumerate(GRAMMAR) if x.phrases}
-    rows = rows.withColumns(taken)
+    taken = [f"coalesce({', '.join(_group(p, 'arg') for p in x.phrases)}) AS _t{i}" for i, x in enumerate(GRAMMAR) if x.phrases]
+    rows = rows.selectExpr("*", *taken)
     rows = rows.withColumns({f"_a{i}": _reading(x, F.col(f"_t{i}") if x.phrases else F.lit(None), F.col("_words"), F.col("_lower")) for i, x in enumerate(GRAMMAR)})
-    number = F.coalesce(*[F.when(F.col(f"_a{i}").isNotNull(), i) for i in range(len(GRAMMAR))], F.lit(len(GRAMMAR)))
-    rows = rows.withColumn("_n", number)
+    number = " ".join(f"WHEN _a{i} IS NOT NULL THEN {i}" for i in range(len(GRAMMAR)))
+    rows = rows.withColumn("_n", F.expr(f"CASE {number} ELSE {len(GRAMMAR)} END"))
 
-    def of_winner(value: Callable[[int, Intent], Column], other: Column) -> Column:
-        chosen = None
-        for i, x in enumerate(GRAMMAR):
-            chosen = F.when(F.col("_n") == i, value(i, x)) if chosen is None else chosen.when(F.col("_n") == i, value(i, x))
-        return chosen.otherwise(other)
+    def of_winner(value: Callable[[int, Intent], str | None], other: str) -> str:
+        whens = " ".join(f"WHEN {i} THEN {v}" for i, x in enumerate(GRAMMAR) if (v := value(i, x)) is not None)
+        return f"CASE _n {whens} ELSE {other} END"
 
-    def verb(x: Intent) -> Column:
-        spoken = [_group(F.col("_q"), p, "verb") for p in x.phrases if "{verb}" in p]
-        return F.upper(F.coalesce(*spoken)) if spoken else F.lit(None).cast("string")
+    def verb(x: Intent) -> str | None:
+        spoken = [_group(p, "verb") for p in x.phrases if "{verb}" in p]
+        return f"upper(coalesce({', '.join(spoken)}))" if spoken else None
 
-    return rows.select(
+    return rows.selectExpr(
         "_row.*",
-        of_winner(lambda i, x: F.lit(x.tool), F.lit("semantic_search")).alias("tool"),
-        of_winner(lambda i, x: F.lit(x.argument), F.lit("query")).alias("arg_name"),
-        of_winner(lambda i, x: F.col(f"_a{i}"), F.col("_q")).alias("arg"),
-        of_winner(lambda i, x: verb(x), F.lit(None).cast("string")).alias("method"),
-        of_winner(lambda i, x: F.lit(x.confidence), F.lit(0.4)).alias("confidence"),
-        of_winner(lambda i, x: F.lit(",".join(x.fallbacks)), F.lit("")).alias("fallbacks"),
+        of_winner(lambda i, x: f"'{x.tool}'", "'semantic_search'") + " AS tool",
+        of_winner(lambda i, x: f"'{x.argument}'", "'query'") + " AS arg_name",
+        of_winner(lambda i, x: f"_a{i}", "_q") + " AS arg",
+        of_winner(lambda i, x: verb(x), "CAST(NULL AS STRING)") + " AS method",
+        of_winner(lambda i, x: f"{x.confidence}D", "0.4D") + " AS confidence",
+        of_winner(lambda i, x: f"'{','.join(x.fallbacks)}'", "''") + " AS fallbacks",
     )
 
 
