@@ -115,3 +115,13 @@ def test_counts_are_those_of_the_texts(spark):
     sketches = texts.mapInPandas(T._sketches, "doc_id bigint, source string, limit_key string, h bigint, real_word string, real_keys array<bigint>, made_word string, made_keys array<bigint>, inside int")
     counts = {r["key"]: (r["total"], r["texts"]) for r in T.corpus_counts(sketches, texts).collect()}
     assert [counts[T.Token("word", w).last_piece] for w in ("alpha", "beta", "gamma", "delta")] == [(2, 0), (2, 0), (1, 2), (1, 0)]
+
+
+def test_cuts_at_the_same_place_prove_nothing(spark):
+    rng, names = random.Random(6), [a + b for a in ("Amber", "Batch", "Cargo", "Daily", "Early") for b in ("Kiln", "Lease", "Mooring", "Orchard", "Pallet")]
+    whole = ["move every row of {} behind the new guard because {} relied on {}".format(*rng.sample(names, 3)) for _ in range(2_000)]
+    cut = [t[: t.index(" new guard") + n] for t in whole[:12] for n in (2, 8)]  # within a word
+    texts = spark.createDataFrame([(i, "notes", "off", t) for i, t in enumerate(whole + cut)], "doc_id bigint, source string, limit_key string, text string")
+    ending = {r["doc_id"]: r["real"] for r in T.describe(texts.selectExpr("doc_id", "source", "limit_key", "xxhash64(text) AS h", "text")).collect()}
+    assert {ending[i] for i in range(2_000)} == {"flat|word|known|line|plain"}
+    assert {ending[i] for i in range(2_000, 2_024)} == {"flat|word|odd|low|plain"}
